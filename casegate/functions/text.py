@@ -26,7 +26,7 @@ def percent(share: Column, digits: int = 2) -> Column:
 
 def trimmed_list(text: Column) -> Column:
     """``"a, b"`` to ``["a", "b"]``."""
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda part: F.trim(part))
 
 
 def arrow_text(sequence: Column) -> Column:

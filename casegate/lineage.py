@@ -1,27 +1,43 @@
-"""Cutting lineage in reliable storage."""
+"""Cutting lineage in reliable storage.
+
+Nothing here relies on executors staying alive: what is reused is written to the
+folder the session names in ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from casegate.errors import CasegateError
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a folder of its own: on a cluster a
-    machine-local folder would be lost together with its executor.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder.  Only a local session without the setting gets a folder
+    of its own: on a cluster a machine-local one would be lost with its machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise CasegateError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="casegate-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``: for small tables of loops, and for rows whose ids must not be
+    computed twice."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet and continue from the files: for logs that many steps
+    read, each with its own columns and filters."""
+    path = f"{shared_folder(df.sparkSession)}/casegate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegate.errors import EmptyLogError
+from casegate.lineage import write_table
 from casegate.schema import (
     BY_START,
     CASE,
@@ -88,26 +89,50 @@ def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*empty)
 
 
-def last_values(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+def last_values(log: DataFrame, columns: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
     """One row per case: times and the last non-null value of each column."""
     place = order_key(BY_START)
     return log.groupBy(CASE).agg(
         F.max(START_TS).alias(START_TS),
         F.max(END_TS).alias(END_TS),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns],
+        *also,
     )
 
 
 def case_table(
     log: DataFrame, labels: DataFrame, ignore: Sequence[str] = (), consider: Sequence[str] | None = None
 ) -> DataFrame:
-    """Cases with complete attributes and their label, ready for rule learning."""
+    """Cases with complete attributes and their label, ready for rule learning.
+
+    The log is read once: whether a text column holds only numbers, or nothing at
+    all, is counted per case and decided on the written case rows.
+    """
     wanted = rule_attributes(attributes(log), ignore, consider)
     if not wanted:
         raise EmptyLogError("the log has no attribute to learn rules from")
-    log = drop_empty_columns(coerce_numeric(log, wanted), wanted)
-    kept = [c for c in wanted if c in log.columns]
-    table = last_values(log, kept).dropna("any", subset=kept)
+    texts = [c for c, t in log.dtypes if c in wanted and t == "string"]
+    misses = [
+        F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"_miss{i}")
+        for i, c in enumerate(texts)
+    ]
+    rows = write_table(last_values(log, wanted, misses).join(labels.select(CASE, REJECTED, KO), CASE))
+    seen = rows.agg(
+        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(wanted)],
+        *[F.sum(f"_miss{i}").alias(f"_miss{i}") for i in range(len(texts))],
+    ).first()
+    kept = [c for i, c in enumerate(wanted) if seen[f"_n{i}"]]
+    if not kept:
+        raise EmptyLogError("all attribute columns are null")
+    numbers = {c for i, c in enumerate(texts) if seen[f"_miss{i}"] == 0}
+    table = rows.select(
+        CASE,
+        START_TS,
+        END_TS,
+        *[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in kept],
+        REJECTED,
+        KO,
+    ).dropna("any", subset=kept)
     if table.isEmpty():
         raise EmptyLogError("every case has a null attribute")
-    return table.join(labels.select(CASE, REJECTED, KO), CASE)
+    return table

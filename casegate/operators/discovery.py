@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegate.errors import NoKnockoutsError
+from casegate.lineage import cut_lineage
 from casegate.operators.filters import eventually_follows
 from casegate.operators.names import names_frame, names_of
 from casegate.operators.ordered import sequence
@@ -198,8 +199,10 @@ def automatic_sequences(
         log = eventually_follows(log, [(start, s) for s in success], retain=False)
     steps = placed_steps(log)
     variants = sorted_variants(steps)
-    rows = variant_steps(steps, variants)
-    return candidate_sequences(rows, variants, differentiating_transitions(rows, variants), limit)
+    # Both tables are read several times below; they are as small as the variants.
+    rows = cut_lineage(variant_steps(steps, variants))
+    best = cut_lineage(differentiating_transitions(rows, variants))
+    return candidate_sequences(rows, variants, best, limit)
 
 
 def excluded(kos: DataFrame, column: str, unwanted: Sequence[str]) -> DataFrame:

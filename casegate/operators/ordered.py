@@ -83,6 +83,44 @@ def sequence(
     return joined.select(*df.columns, *added)
 
 
+def forward_fill(
+    df: DataFrame,
+    order: Sequence[str],
+    columns: Mapping[str, str],
+    key: str = CASE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add, per ``key`` in ``order``, the last non-null value so far of columns
+    (new name -> source)."""
+    flagged = flag_hot(df, [key], hot_rows).withColumn(
+        "_slice", F.when(F.col("_hot"), F.floor(micros(order[0]) / F.lit(MICROS_PER_HOUR)))
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    body = flagged.withColumns(
+        {new: F.last(source, ignorenulls=True).over(inside) for new, source in columns.items()}
+    )
+    across = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+    slices = (
+        flagged.filter(F.col("_hot"))
+        .groupBy(key, "_slice")
+        .agg(
+            *[
+                F.max_by(source, F.when(F.col(source).isNotNull(), place)).alias(f"_last_{new}")
+                for new, source in columns.items()
+            ]
+        )
+        .select(
+            key,
+            "_slice",
+            *[F.last(f"_last_{new}", ignorenulls=True).over(across).alias(f"_from_{new}") for new in columns],
+        )
+    )
+    return body.join(slices, [key, "_slice"], "left").select(
+        *df.columns, *[F.coalesce(new, f"_from_{new}").alias(new) for new in columns]
+    )
+
+
 def running_totals(
     points: DataFrame,
     keys: Sequence[str],
@@ -117,25 +155,49 @@ def running_totals(
     return joined.withColumns({v: F.col(v) + F.col(f"_carry_{v}") for v in values}).select(*points.columns)
 
 
+def ordered_totals(
+    df: DataFrame, order: Sequence[str | Column], totals: Mapping[str, Column | str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Add running totals (new name -> summed column) along a total ``order``, per ``by``.
+
+    The sort is range partitioned, so no task sees more than its share however the
+    rows spread over ``by``.  The sorted rows are checkpointed first: their ids must
+    not be computed twice.  Offsets have one row per sort partition and group.
+    """
+    placed = cut_lineage(df.orderBy(*by, *order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part", *by)
+        .agg(*[F.sum(value).alias(f"_sum_{new}") for new, value in totals.items()])
+        .select(
+            "_part",
+            *by,
+            *[F.coalesce(F.sum(f"_sum_{new}").over(before), F.lit(0)).alias(f"_from_{new}") for new in totals],
+        )
+    )
+    inside = Window.partitionBy("_part", *by).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumns({f"_in_{new}": F.sum(value).over(inside) for new, value in totals.items()})
+    return running.join(offsets, ["_part", *by]).select(
+        *df.columns, *[(F.col(f"_from_{new}") + F.col(f"_in_{new}")).alias(new) for new in totals]
+    )
+
+
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
     """Add the 0-based rank of each row under ``order``, which must be total.
 
-    The sort is range partitioned, so no task sees more than its share.  The
-    sorted rows are checkpointed first: their ids must not be computed twice.
-    The offsets table has one row per sort partition.
+    As in ``ordered_totals``, but the place inside a sort partition is part of the
+    id, so only one offset per sort partition is needed and no window.
     """
     placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_part",
-            F.coalesce(
-                F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("_offset"),
-        )
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_offset") + inside).alias(name))
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *df.columns, (F.col("_offset") + inside).alias(name)
+    )

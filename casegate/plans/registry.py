@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegate.operators.discovery import activities_before
+from casegate.lineage import write_table
+from casegate.operators.discovery import activities_before, excluded
 from casegate.operators.labels import label_cases, label_log, rejected_cases
 from casegate.operators.names import names_of
 from casegate.operators.prepare import add_boundaries
 from casegate.schema import ACTIVITY, END, KO, START
-from casegate.operators.discovery import excluded
 from casegate.sources.derived import order_log, user_day_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,11 @@ ORDER_POST = ["Notify rejection"]
 
 
 class Labelled:
-    """A log with its checks and labels, composed lazily but for the names."""
+    """A log with its checks and labels.  The log is written once, as every step below
+    reads it with other columns; the rest is lazy but for the names."""
 
     def __init__(self, log: DataFrame, post: list[str]):
-        self.base = log
+        log = self.base = write_table(log)
         unwanted = [START, END, *post]
         self.candidates = names_of(excluded(activities_before(log, post), ACTIVITY, unwanted), ACTIVITY)
         self.labels = label_cases(log, rejected_cases(log, self.candidates, post), self.candidates, post)
