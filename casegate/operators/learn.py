@@ -27,6 +27,7 @@ Pairs = tuple[tuple[str, str], ...]  # (attribute, bin label), a rule while it g
 
 CHECKS_PER_JOB = 40
 GAIN_FLOOR = 1e-9
+COMBINATIONS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,14 @@ def count_table(train: DataFrame, features: Sequence[str], settings: LearnSettin
         .groupBy(*features, "_ko", "_prune")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    # Rows per value first: the distinct counts then work on few rows.
     size = counted.agg(
-        F.sum("_n").alias("rows"), *[F.count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(features)]
+        F.sum("_n").alias("rows"),
+        F.count(F.lit(1)).alias("combinations"),
+        *[F.count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(features)],
     ).first()
-    return Counts(counted, binnings, sum(size[f"_{i}"] for i in range(len(features))), size["rows"] or 0)
+    # Many short jobs follow: no more tasks than the table is worth.
+    table = counted.coalesce(1 + size["combinations"] // COMBINATIONS_PER_TASK)
+    return Counts(table, binnings, sum(size[f"_{i}"] for i in range(len(features))), size["rows"] or 0)
 
 
 def holds(rule: Pairs) -> Column:
@@ -94,11 +98,15 @@ def chunks(kos: Sequence[str]):
 
 
 def best_conditions(
-    counts: Counts, scopes: Mapping[str, Column], features: Sequence[str]
+    counts: Counts,
+    scopes: Mapping[str, Column],
+    features: Sequence[str],
+    totals: Mapping[str, tuple[int, int]],
 ) -> dict[str, tuple[str, str, int, int, float] | None]:
     """The next condition of each check with the highest information gain.
 
-    A scope marks the rows a check's rule still covers.  Gain of a condition is
+    A scope marks the rows a check's rule still covers; ``totals`` are its positives
+    and negatives.  Gain of a condition is
     ``p1 * (log2(p1/(p1+n1)) - log2(p0/(p0+n0)))``; ties go to the first attribute
     and bin by name.  One job for all checks, one row back.
     """
@@ -120,10 +128,9 @@ def best_conditions(
             .groupBy("feature", "label")
             .agg(*[F.sum(c).alias(c) for c in used])
         )
-        totals = weighted.agg(*[F.sum(c).alias(c) for c in used]).first()
         picks = []
         for i, k in enumerate(kos):
-            p0, n0 = totals[f"_p{i}"] or 0, totals[f"_n{i}"] or 0
+            p0, n0 = totals[k]
             p1, n1 = F.col(f"_p{i}"), F.col(f"_n{i}")
             base = math.log2(p0 / (p0 + n0)) if p0 else 0.0
             gain = F.when(p1 > 0, p1 * (F.log2(p1 / (p1 + n1)) - F.lit(base))).otherwise(F.lit(-1.0))
@@ -175,13 +182,15 @@ def grow(
 ) -> dict[str, Pairs]:
     """Extend the rules of several checks in lock step on the growing part."""
     rules = dict(starts)
-    active = set(starts)
+    scope = {ko: ~F.col("_prune") & ~any_holds(covered[ko]) & holds(rule) for ko, rule in rules.items()}
+    totals = tallies(counts, {ko: (ko, rows) for ko, rows in scope.items()})
+    active = {ko for ko in starts if totals[ko][0] > 0 and totals[ko][1] > 0 or not starts[ko]}
     while active:
         scopes, features = {}, set()
         for ko in sorted(active):
             scopes[ko] = ~F.col("_prune") & ~any_holds(covered[ko]) & holds(rules[ko])
             features |= set(counts.binnings)
-        picks = best_conditions(counts, scopes, sorted(features))
+        picks = best_conditions(counts, scopes, sorted(features), totals)
         for ko in sorted(active):
             best = picks[ko]
             used = {f for f, _ in rules[ko]}
@@ -189,6 +198,7 @@ def grow(
                 active.discard(ko)
                 continue
             rules[ko] = (*rules[ko], (best[0], best[1]))
+            totals[ko] = (best[2], best[3])
             limits = [m for m in (settings.max_rule_conds, room[ko]) if m is not None]
             full = bool(limits) and len(rules[ko]) >= min(limits)
             if best[3] == 0 or full:
@@ -314,7 +324,7 @@ def add_rules(
         ) if cut else {}
         for ko, rule in cut.items():
             p, n = judged[ko]
-            wrong = n >= p if p + n else False
+            wrong = settings.prune_size > 0 and p <= n
             if wrong and not by_length:
                 open_kos.discard(ko)
                 continue

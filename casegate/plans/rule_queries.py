@@ -464,14 +464,19 @@ def j5_step(spark, folder):
     cases = order_cases(spark, folder)
     counts = learn.count_table(cases, FEATURES, learn.LearnSettings(prune_size=0.0))
     scopes = {ko: F.lit(True) for ko in sorted(FIXED_RULES)}
-    best = learn.best_conditions(counts, scopes, FEATURES)
+    totals = learn.tallies(counts, {ko: (ko, F.lit(True)) for ko in scopes})
+    best = learn.best_conditions(counts, scopes, FEATURES, totals)
     rows = [(ko, *found[:4], round(found[4], 6)) for ko, found in sorted(best.items())]
     return spark.createDataFrame(rows, f"{KO_KEY} string, feature string, label string, p long, n long, gain double")
 
 
+SMALL_MODEL = {"IREP": (3, 1), "RIPPER": (3, 2)}  # rules, conditions per rule
+
+
 def learned(spark, folder, algorithm):
     split = splits.temporal_holdout(order_cases(spark, folder))
-    settings = learn.LearnSettings(prune_size=0.33)
+    most, conditions = SMALL_MODEL[algorithm]
+    settings = learn.LearnSettings(max_rules=most, max_rule_conds=conditions, k=1)
     found = learn.learn_rules(split.filter(~F.col("is_test")), sorted(FIXED_RULES), FEATURES, algorithm, settings)
     return split, found
 
@@ -488,7 +493,7 @@ def j6(spark, folder):
 
 @register("j10_learned_rule_quality")
 def j10(spark, folder):
-    split, found = learned(spark, folder, "RIPPER")
+    split, found = learned(spark, folder, "IREP")
     return rules.holdout_quality(split.filter("is_test"), found)
 
 
@@ -496,7 +501,10 @@ def j10(spark, folder):
 def j7(spark, folder):
     split = splits.temporal_holdout(order_cases(spark, folder))
     found, _ = learn.surrogate_rules(
-        split.filter(~F.col("is_test")), ["Check Balance"], FEATURES, learn.LearnSettings(prune_size=0.33)
+        split.filter(~F.col("is_test")),
+        ["Check Balance"],
+        FEATURES,
+        learn.LearnSettings(max_rules=2, max_rule_conds=1, k=1),
     )
     return rules.rules_table(spark, found)
 
@@ -505,8 +513,9 @@ def j7(spark, folder):
 def j8(spark, folder):
     from casegate.operators.tuning import grid_scores
 
-    grid = {"prune_size": [0.33, 0.5], "n_discretize_bins": [10, 20]}
-    return grid_scores(order_cases(spark, folder), sorted(FIXED_RULES), FEATURES, "IREP", grid)
+    grid = {"n_discretize_bins": [10, 20]}
+    settings = learn.LearnSettings(max_rules=1, max_rule_conds=1)
+    return grid_scores(order_cases(spark, folder), sorted(FIXED_RULES), FEATURES, "IREP", grid, settings)
 
 
 # --- variant comparison -------------------------------------------------------------------------
