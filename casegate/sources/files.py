@@ -61,13 +61,15 @@ def trace_schema() -> T.StructType:
 
 def pairs(prefix: str = "") -> Column:
     """All typed attributes of an element as one array of (key, value, tag)."""
-    parts = [
-        F.transform(
-            F.coalesce(F.col(prefix + tag), F.array().cast("array<struct<_key:string,_value:string>>")),
-            lambda p, tag=tag: F.struct(p["_key"].alias("k"), p["_value"].alias("v"), F.lit(tag).alias("tag")),
+    none = F.array().cast("array<struct<_key:string,_value:string>>")
+
+    def tagged(tag: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(prefix + tag), none),
+            lambda p: F.struct(p["_key"].alias("k"), p["_value"].alias("v"), F.lit(tag).alias("tag")),
         )
-        for tag in XES_TYPES
-    ]
+
+    parts = [tagged(tag) for tag in XES_TYPES]
     return F.concat(*parts)
 
 
