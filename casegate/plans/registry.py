@@ -37,14 +37,15 @@ ORDER_POST = ["Notify rejection"]
 
 
 class Labelled:
-    """A log with its checks and labels.  The log is written once, as every step below
-    reads it with other columns; the rest is lazy but for the names."""
+    """A log with its checks and labels.  The log and its labels (one row per case) are
+    written once, as every step below reads them; the rest is lazy but for the names."""
 
     def __init__(self, log: DataFrame, post: list[str]):
         log = self.base = write_table(log)
         unwanted = [START, END, *post]
         self.candidates = names_of(excluded(activities_before(log, post), ACTIVITY, unwanted), ACTIVITY)
-        self.labels = label_cases(log, rejected_cases(log, self.candidates, post), self.candidates, post)
+        rejected = rejected_cases(log, self.candidates, post)
+        self.labels = write_table(label_cases(log, rejected, self.candidates, post))
         self.log = label_log(log, self.labels)
 
     @property
