@@ -10,8 +10,8 @@ from casegate.operators.labels import observed_kos
 from casegate.operators.names import names_of
 from casegate.plans.oracles import with_parts
 from casegate.plans.registry import day, day_labelled, orders, orders_labelled, register
-from casegate.schema import ACTIVITY, BY_END, BY_START, CASE, KO, KO_KEY, REJECTED
-from casegate.sources.derived import order_log, user_day_log
+from casegate.schema import ACTIVITY, CASE, KO, KO_KEY, REJECTED
+from casegate.sources.derived import user_day_log
 
 
 def rounded(df, *columns, digits=6):

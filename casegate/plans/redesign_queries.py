@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from casegate.functions.text import arrow_text
 from casegate.lineage import write_table
-from casegate.operators import enrich, filters, metrics, redesign, roles, variants, wip
+from casegate.operators import enrich, metrics, redesign, roles, wip
 from casegate.operators.ordered import sequence
-from casegate.operators.prepare import add_boundaries
-from casegate.operators.rules import rules_table
 from casegate.plans.log_queries import rounded
 from casegate.plans.oracles import PARTS, with_parts
 from casegate.plans.registry import day, day_labelled, orders, orders_labelled, register
 from casegate.plans.rule_queries import FIXED_RULES
-from casegate.schema import ACTIVITY, BY_START, CASE, KO, KO_KEY, REJECTED, micros
+from casegate.schema import ACTIVITY, BY_START, CASE, KO_KEY
 from casegate.sources.derived import order_log, user_day_log
 
 # --- dependencies, order, relocation ------------------------------------------------

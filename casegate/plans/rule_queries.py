@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from casegate.functions import stats
 from casegate.functions.bins import quantile_edges
 from casegate.functions.text import percent
-from casegate.operators import casetable, discovery, learn, metrics, roc, rules, splits
+from casegate.operators import casetable, learn, metrics, roc, rules, splits
 from casegate.operators.rules import Condition
 from casegate.plans.log_queries import day_variant_rows, rounded
 from casegate.plans.oracles import PARTS, with_parts
 from casegate.plans.registry import day_labelled, orders, orders_labelled, register
 from casegate.schema import ACTIVITY, BY_END, CASE, KO, KO_KEY, REJECTED
-from casegate.sources.derived import order_log
 
 FEATURES = ["c_acctbal", "o_totalprice", "o_orderpriority"]
 
@@ -329,7 +328,7 @@ def k8(spark, folder):
 SELECT round(avg(o_totalprice), 2) AS mean, count(*) AS n,
        round((avg(o_totalprice) - 1.960201 * stddev_samp(o_totalprice) / sqrt(count(*))) / 1000, 1) AS low_k,
        round((avg(o_totalprice) + 1.960201 * stddev_samp(o_totalprice) / sqrt(count(*))) / 1000, 1) AS high_k
-FROM orders""".replace("ocases", "orders")))
+FROM orders"""))
 def d24(spark, folder):
     table = stats.t_interval(spark.read.parquet(f"{folder}/orders.parquet"), "o_totalprice")
     return table.select(

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from casegate.config import AnalysisConfig, ReadOptions
 from casegate.errors import UnsupportedFileError
-from casegate.operators.ordered import sequence
 from casegate.operators.prepare import (
     DEFAULT_NAMES,
     add_boundaries,
