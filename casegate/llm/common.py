@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +27,18 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut to some ``limit`` bytes of text each, so that memory follows neither the batch
-    size nor the row lengths (a single row may still be longer)."""
+def parts(
+    batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Batches cut to some ``limit`` bytes of the text column each, so that memory follows neither
+    the batch size nor the row lengths (a single row may still be longer)."""
     for batch in batches:
-        begin = size = 0
-        lengths = batch.column(column).cast(pa.binary())
-        for i in range(batch.num_rows):
-            size += len(lengths[i].as_buffer() or b"") if lengths[i].is_valid else 0
-            if size >= limit:
-                yield batch.slice(begin, i + 1 - begin)
-                begin, size = i + 1, 0
-        if begin < batch.num_rows or not batch.num_rows:
-            yield batch.slice(begin)
+        text = batch[column] if isinstance(column, str) else column(batch)
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(begin, end - begin)
 
 
 def classes(links: DataFrame) -> DataFrame:
