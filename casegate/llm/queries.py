@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, simhash
+from casegate.llm import decontamination, packing, simhash
 from casegate.llm.common import table
+from casegate.llm.tokens import default_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,6 +36,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
 }
