@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, packing, simhash
+from casegate.llm import decontamination, packing, simhash, toxicity
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -35,9 +35,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "nearest",
+        "cosines",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
 }
 SQL: dict[str, str] = {}
