@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, packing, simhash, toxicity
+from casegate.llm import decontamination, packing, pii, simhash, toxicity
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -48,10 +48,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    count = "cast(size(filter(base, s -> s.kind = '{0}')) as long) n_{0}"
+    return pii.find(docs, docs["doc_id"], docs["text"]).selectExpr(
+        "kept doc_id",
+        *(count.format(k.name) for k in pii.BASE),
+        f"sha2({pii.listed('base')}, 256) base_sha256",
+        f"{pii.listed('concat(base, added)')} spans",
+        "transform(concat(base, added), s -> s.score) scores",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
 }
 SQL: dict[str, str] = {}
