@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, html, packing, pii, simhash, toxicity
+from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, toxicity
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -60,6 +60,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op8_fingerprints": op8_fingerprints,
     "op10_html": op10_html,
 }
 SQL: dict[str, str] = {}
