@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, toxicity
+from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, token_counts, toxicity
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -35,6 +35,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each document, made from it: a cut of 12 code points after a third, its first 24
+    code points put in after two thirds, and its last 9 replaced."""
+    docs = table(spark, sf_dir, "documents")
+    edits = F.expr(
+        """array(
+             struct(cast(length(text) div 3 as int) start, 12 deleted, '' inserted),
+             struct(cast(length(text) * 2 div 3 as int) start, 0 deleted, substring(text, 1, 24) inserted),
+             struct(length(text) + 3 start, 9 deleted, concat(' ', reverse(substring(text, 1, 9))) inserted))"""
+    )
+    return token_counts.recount(docs, default_vocabulary(), docs["doc_id"], docs["text"], edits).withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -72,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op8_fingerprints": op8_fingerprints,

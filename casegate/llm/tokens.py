@@ -59,6 +59,20 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of any text; added tokens in it are ordinary text."""
+        pieces = pre_tokens(text)
+        if pieces is None:
+            found = self._tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            pieces = [text[begin:end] for _, (begin, end) in found]
+        return pieces
+
+    def count(self, piece: str) -> int:
+        """Tokens of a pre-token."""
+        if len(self._kept) > KEPT:
+            self._kept.clear()
+        return len(self._kept[piece]) // 4
+
     def bytes_of(self, text: str) -> bytes:
         pieces = None if any(t in text for t in self._added) else pre_tokens(text)
         if pieces is None:
