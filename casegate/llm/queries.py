@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, token_counts, toxicity
+from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, token_counts, toxicity, warc
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -77,6 +77,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_of(table(spark, sf_dir, "pages"))
+    return warc.derivatives(responses, "page_id").withColumnRenamed("key", "page_id")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
 SQL: dict[str, str] = {}
