@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -21,12 +23,28 @@ PRE_TOKEN = re.compile(
     f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
 _BEYOND = re.compile("[^\x00-ɏ]")
-#: Pre-tokens kept at a time: some 100 MB.
-KEPT = 400_000
+#: Pre-tokens of a generation that are kept; two generations take some 70 MB.
+KEPT = 150_000
 #: Longer pre-tokens are not kept.
 LONGEST_KEPT = 64
 
 
+def _byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from
+    U+0100 on."""
+    table, following = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte:
+            table[byte] = byte
+        else:
+            table[byte] = following
+            following += 1
+    return table
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 def pre_tokens(text: str) -> list[str] | None:
     """The pre-tokens, which spell the text; None where the rule is not written out."""
     if not text.isascii() and _BEYOND.search(text):
@@ -35,26 +53,43 @@ def pre_tokens(text: str) -> list[str] | None:
 
 
 class _Kept(dict):
+    """Ids of pre-tokens.  When a generation is full, the one before it is forgotten; what is asked
+    for again moves on to the next."""
+
     def __init__(self, encode):
-        self._encode = encode
+        self._encode, self._before = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(piece)
+        ids = self._before.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
         if len(piece) <= LONGEST_KEPT:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > KEPT:
+            self._before = dict(self)
+            self.clear()
+
 
 class Encoder:
     """``bytes_of(text)``: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise OSError("ids are kept as little-endian 32-bit integers")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._kept = _Kept(self.whole)
+        self._kept = _Kept(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token by the tokenizer's model alone."""
+        spelled = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return array("I", [t.id for t in self._tokenizer.model.tokenize(spelled)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,16 +104,14 @@ class Encoder:
 
     def count(self, piece: str) -> int:
         """Tokens of a pre-token."""
-        if len(self._kept) > KEPT:
-            self._kept.clear()
+        self._kept.age()
         return len(self._kept[piece]) // 4
 
     def bytes_of(self, text: str) -> bytes:
         pieces = None if any(t in text for t in self._added) else pre_tokens(text)
         if pieces is None:
             return self.whole(text)
-        if len(self._kept) > KEPT:
-            self._kept.clear()
+        self._kept.age()
         return b"".join(map(self._kept.__getitem__, pieces))
 
 
