@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, fingerprints, html, packing, pii, simhash, token_counts, toxicity, warc
+from casegate.llm import decontamination, fingerprints, html, licenses, packing, pii, simhash, token_counts, toxicity, warc
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -73,6 +73,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, docs["doc_id"], docs["text"]).withColumnRenamed("id", "doc_id")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -93,8 +98,9 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
