@@ -28,7 +28,7 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def parts(
-    batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 8 << 20
+    batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 2 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Batches cut to some ``limit`` bytes of the text column each, so that memory follows neither
     the batch size nor the row lengths (a single row may still be longer)."""
@@ -39,6 +39,8 @@ def parts(
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for begin, end in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(begin, end - begin)
+        del batch, text
+        pa.default_memory_pool().release_unused()
 
 
 def classes(links: DataFrame) -> DataFrame:

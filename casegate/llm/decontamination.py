@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -213,8 +213,12 @@ def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[li
 RESULTS = "n_words long, longest int, spans array<struct<begin:int,end:int>>, items array<string>"
 
 
-def _pass(shared, window: int, place: int):
-    """One automaton over all documents: adds its hits to those of the passes before."""
+Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def _pass(shared, place: int, finish: Finish | None = None):
+    """One automaton over all documents: adds its hits to those of the passes before; the last pass
+    may go on to ``finish`` its batches, so that they need no further worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = pickle.loads(shared.value)
@@ -238,10 +242,11 @@ def _pass(shared, window: int, place: int):
                 joined = merged([(x["begin"], x["end"]) for x in spans[row]])
                 spans[row] = [{"begin": b, "end": e} for b, e in joined]
                 items[row] = sorted(set(items[row]))
-            yield pa.record_batch(
+            made = pa.record_batch(
                 [batch["row"], pa.array(counts), pa.array(longest, pa.int32()), pa.array(spans, batch["spans"].type), pa.array(items, batch["items"].type)],
                 names=batch.schema.names,
             )
+            yield made if finish is None else finish(made)
 
     return run
 
@@ -254,10 +259,12 @@ def scan(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    finish: tuple[Finish, str] | None = None,
 ) -> DataFrame:
     """``row`` (a struct of the document's columns), ``n_words``, ``longest`` (the longest match
     tracked; stretches too short for a window are not tracked), ``spans`` (hit word spans, disjoint)
-    and ``items`` (ids with windows, distinct, sorted)."""
+    and ``items`` (ids with windows, distinct, sorted); or what ``finish`` makes of its batches, with
+    its schema."""
     context = docs.sparkSession.sparkContext
     place = docs.columns.index(text_col)
     result = docs.select(
@@ -267,15 +274,15 @@ def scan(
         F.expr("cast(array() as array<struct<begin:int,end:int>>) spans"),
         F.expr("cast(array() as array<string>) items"),
     )
-    schema = f"row {result.schema['row'].dataType.simpleString()}, {RESULTS}"
-    blocks_seen = 0
-    for block in blocks(items, item_id, item_text, block_words):
-        shared = context.broadcast(pickle.dumps(Automaton(block, window), pickle.HIGHEST_PROTOCOL))
-        result = result.mapInArrow(_pass(shared, window, place), schema)
-        blocks_seen += 1
-    if not blocks_seen:
-        shared = context.broadcast(pickle.dumps(Automaton([], window), pickle.HIGHEST_PROTOCOL))
-        result = result.mapInArrow(_pass(shared, window, place), schema)
+    row = result.schema["row"].dataType.simpleString()
+    waiting = None  # a block is scanned once the next one, or the end, is known
+    for block in chain(blocks(items, item_id, item_text, block_words), [None]):
+        if waiting is not None or block is None:
+            shared = context.broadcast(pickle.dumps(Automaton(waiting or [], window), pickle.HIGHEST_PROTOCOL))
+            if block is None and finish is not None:
+                return result.mapInArrow(_pass(shared, place, finish[0]), finish[1])
+            result = result.mapInArrow(_pass(shared, place), f"row {row}, {RESULTS}")
+        waiting = block
     return result
 
 
@@ -323,33 +330,29 @@ def decontaminate(
     """
     columns = docs.columns
     place = columns.index(text_col)
-    found = scan(docs, items, text_col, **options)
-    schema = found.schema["row"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, spans = batch["row"], batch["spans"].to_pylist()
-            words = batch["n_words"].to_pylist()
-            column = row.field(place).to_pylist()
-            keep = np.ones(batch.num_rows, bool)
-            changed = {}
-            for at, own in enumerate(spans):
-                hit = sum(s["end"] - s["begin"] for s in own)
-                if not hit or hit < least_share * words[at]:
-                    continue
-                if hit >= drop_share * words[at]:
-                    keep[at] = False
-                    continue
-                changed[at] = without((column[at] or "").encode(), [(s["begin"], s["end"]) for s in own]).decode()
-            fields = [row.field(i) for i in range(len(columns))]
-            if changed:
-                fields[place] = pa.array([changed.get(at, t) for at, t in enumerate(column)], fields[place].type)
-                if length_col is not None:
-                    where = columns.index(length_col)
-                    lengths = fields[where].to_pylist()
-                    fields[where] = pa.array([len(changed[at]) if at in changed else n for at, n in enumerate(lengths)], fields[where].type)
-            yield pa.record_batch([pa.StructArray.from_arrays(fields, names=columns)], names=["row"]).filter(pa.array(keep))
-
-    return found.select("row", "n_words", "spans").mapInArrow(cut, f"row {schema}").select(
-        *(F.col(f"row.`{c}`").alias(c) for c in columns)
-    )
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, spans = batch["row"], batch["spans"].to_pylist()
+        words = batch["n_words"].to_pylist()
+        fields = [row.field(i) for i in range(len(columns))]
+        keep = np.ones(batch.num_rows, bool)
+        changed = {}
+        for at, own in enumerate(spans):
+            hit = sum(s["end"] - s["begin"] for s in own)
+            if not hit or hit < least_share * words[at]:
+                continue
+            if hit >= drop_share * words[at]:
+                keep[at] = False
+                continue
+            text = fields[place][at].as_py()
+            changed[at] = without(text.encode(), [(s["begin"], s["end"]) for s in own]).decode()
+        if changed:
+            fields[place] = pa.array([changed.get(at, t) for at, t in enumerate(fields[place].to_pylist())], fields[place].type)
+            if length_col is not None:
+                where = columns.index(length_col)
+                lengths = fields[where].to_pylist()
+                fields[where] = pa.array([len(changed[at]) if at in changed else n for at, n in enumerate(lengths)], fields[where].type)
+        return pa.record_batch(fields, names=columns).filter(pa.array(keep))
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
+    return scan(docs, items, text_col, finish=(cut, schema), **options)

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +122,8 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Documents are dealt once, to ranges of ids between quantiles; the first document of each range
     also goes to the range before it.  A task sorts its range and holds two documents at a time.
     """
+    from pyspark.ml.feature import Bucketizer  # not needed in workers
+
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))

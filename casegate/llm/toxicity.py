@@ -44,6 +44,8 @@ BLOCK = 64
 THRESHOLD = 0.3
 _STARTS = (4, 5, 6)
 _LONGEST_WORD = 32
+#: Terms that a task counts before it passes them on.
+_TERMS_HELD = 150_000
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -225,14 +227,23 @@ def fit(
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            every = list(seen[0].keys() | seen[1].keys())
+            made = pa.record_batch(
+                [pa.array(every, pa.binary()), pa.array([seen[1][t] for t in every], pa.int64()), pa.array([seen[0][t] for t in every], pa.int64())],
+                names=["term", "toxic", "clean"],
+            )
+            for own in seen:
+                own.clear()
+            return made
+
         for batch in batches:
             for text, label in zip(texts(batch["text"]), batch["label"].to_pylist(), strict=True):
                 seen[label].update({t for w in set(words_of(text)) for t in terms_of(w)})
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pa.record_batch(
-            [pa.array(every, pa.binary()), pa.array([seen[1][t] for t in every], pa.int64()), pa.array([seen[0][t] for t in every], pa.int64())],
-            names=["term", "toxic", "clean"],
-        )
+                if len(seen[0]) + len(seen[1]) > _TERMS_HELD:
+                    yield counts()
+        yield counts()
 
     counted = (
         chosen_from.mapInArrow(count_terms, "term binary, toxic long, clean long")
