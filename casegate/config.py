@@ -26,6 +26,7 @@ class ReadOptions:
     timestamp_format: str = "%Y-%m-%dT%H:%M:%S.%f"
     one_timestamp: bool = False
     filter_d_attrib: bool = False
+    split_lines: bool = False
 
 
 @dataclass(frozen=True)

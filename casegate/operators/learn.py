@@ -1,232 +1,271 @@
 """Rule learning by distributed counting (IREP, RIPPER and a boosted-tree teacher).
 
-After Fuernkranz and Widmer (1994) and Cohen (1995).  Cases are binned and counted
-once into a table with one row per combination of attribute bins, label and
-grow/prune part.  Every later step is an aggregate over that table for all checks
-at a time; the driver holds rules and the winner of each step, never cases.
+After Fuernkranz and Widmer (1994) and Cohen (1995).  Cases are binned and counted once into a table
+with one row per combination of attribute bins, label and grow/prune part.  Each learner is a
+generator that asks for counts and is sent them; all learners (checks, folds, settings) are asked in
+lock step, so a job answers one question of each.  A growth step brings the counts of both parts, so
+pruning and description lengths need no jobs of their own.  The driver holds rules and the winner of
+each step, never cases.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegate.config import AnalysisConfig
 from casegate.errors import RuleLearningError
 from casegate.functions.bins import Binning, fit_bins
 from casegate.lineage import cut_lineage
 from casegate.operators.casetable import numeric_columns
+from casegate.operators.roc import score_area
 from casegate.operators.rules import Rule
 from casegate.operators.splits import shuffled
 from casegate.schema import KO
 
 Pairs = tuple[tuple[str, str], ...]  # (attribute, bin label), a rule while it grows
 
-CHECKS_PER_JOB = 40
 GAIN_FLOOR = 1e-9
+#: Looks that one job answers, and combinations that one task reads: batching only, none is left out.
+LOOKS_PER_JOB = 400
 COMBINATIONS_PER_TASK = 100_000
+#: The part of rows that are only scored.
+TEST = -1
 
 
 @dataclass(frozen=True)
 class LearnSettings:
-    max_rules: int | None = None
-    max_rule_conds: int | None = None
-    max_total_conds: int | None = None
-    k: int = 2
-    n_discretize_bins: int = 10
-    dl_allowance: float = 2.0
-    prune_size: float = 0.33
+    """The defaults are the configuration's."""
+
+    max_rules: int | None = AnalysisConfig.max_rules
+    max_rule_conds: int | None = AnalysisConfig.max_rule_conds
+    max_total_conds: int | None = AnalysisConfig.max_total_conds
+    k: int = AnalysisConfig.k
+    n_discretize_bins: int = AnalysisConfig.n_discretize_bins
+    dl_allowance: float = AnalysisConfig.dl_allowance
+    prune_size: float = AnalysisConfig.prune_size
     seed: int = 0
 
 
-@dataclass
-class Counts:
-    """The count table with its attributes and bins."""
+@dataclass(frozen=True)
+class Tally:
+    """Positives and negatives of the growing and the pruning part."""
 
-    table: DataFrame
-    binnings: Mapping[str, Binning]
-    conditions: int
-    rows: int
+    grow_p: int
+    grow_n: int
+    prune_p: int
+    prune_n: int
 
+    @property
+    def p(self) -> int:
+        return self.grow_p + self.prune_p
 
-def count_table(train: DataFrame, features: Sequence[str], settings: LearnSettings) -> Counts:
-    """Bin and count the training cases.  ``prune_size`` is the share of cases used
-    for pruning, chosen by a hash of the case id."""
-    numeric = numeric_columns(train, features)
-    other = [c for c in features if c not in numeric]
-    binnings = {b.feature: b for b in fit_bins(train, numeric, other, settings.n_discretize_bins)}
-    part = F.conv(F.substring(shuffled(settings.seed), 1, 6), 16, 10).cast("long") / float(16**6)
-    counted = cut_lineage(
-        train.select(
-            *[binnings[c].label().alias(c) for c in features],
-            F.col(KO).alias("_ko"),
-            (part < settings.prune_size).alias("_prune"),
-        )
-        .groupBy(*features, "_ko", "_prune")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    size = counted.agg(
-        F.sum("_n").alias("rows"),
-        F.count(F.lit(1)).alias("combinations"),
-        *[F.count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(features)],
-    ).first()
-    # Many short jobs follow: no more tasks than the table is worth.
-    table = counted.coalesce(1 + size["combinations"] // COMBINATIONS_PER_TASK)
-    return Counts(table, binnings, sum(size[f"_{i}"] for i in range(len(features))), size["rows"] or 0)
+    @property
+    def n(self) -> int:
+        return self.grow_n + self.prune_n
 
 
-def holds(rule: Pairs) -> Column:
-    met = F.lit(True)
-    for feature, label in rule:
-        met = met & F.coalesce(F.col(f"`{feature}`") == label, F.lit(False))
-    return met
+@dataclass(frozen=True)
+class Look:
+    """A question: the rows of a training set that ``covered`` leaves and ``rule`` holds for, counted
+    for a check; with ``growing`` also the condition that extends the rule best."""
 
+    table: int
+    ko: str
+    size_at: int
+    covered: tuple[Pairs, ...]
+    rule: Pairs
+    growing: bool = False
+    test: bool = False
 
-def any_holds(rules: Sequence[Pairs]) -> Column:
-    met = F.lit(False)
-    for rule in rules:
-        met = met | holds(rule)
-    return met
 
+@dataclass(frozen=True)
+class Seen:
+    """The answer.  ``best``: attribute, bin label, gain and the counts with that condition."""
+
+    counts: Tally
+    best: tuple[str, str, float, Tally] | None = None
+
+
+@dataclass
+class Counts:
+    """Count tables of training sets as one frame (``_set``), with the bins of each set."""
 
-def chunks(kos: Sequence[str]):
-    for at in range(0, len(kos), CHECKS_PER_JOB):
-        yield kos[at : at + CHECKS_PER_JOB]
+    frame: DataFrame
+    features: list[str]
+    prune_sizes: list[float]
+    binnings: Mapping[int, Mapping[str, Binning]]
+    conditions: Mapping[int, int]
+    rows: Mapping[int, int]
 
 
-def best_conditions(
-    counts: Counts,
-    scopes: Mapping[str, Column],
+def count_tables(
+    sets: Mapping[int, tuple[DataFrame, int]],
     features: Sequence[str],
-    totals: Mapping[str, tuple[int, int]],
-) -> dict[str, tuple[str, str, int, int, float] | None]:
-    """The next condition of each check with the highest information gain.
-
-    A scope marks the rows a check's rule still covers; ``totals`` are its positives
-    and negatives.  Gain of a condition is
-    ``p1 * (log2(p1/(p1+n1)) - log2(p0/(p0+n0)))``; ties go to the first attribute
-    and bin by name.  One job for all checks, one row back.
+    prune_sizes: Sequence[float],
+    seed: int = 0,
+    tests: Mapping[int, DataFrame] | None = None,
+) -> Counts:
+    """Bin and count training sets (``number: (cases, bins)``) and the cases to score beside them.
+
+    A case prunes if its hash lies below ``prune_size``; ``_part`` is the number of prune sizes that
+    do not exceed the hash, so one table serves all of them.
     """
-    found: dict[str, tuple | None] = {}
-    for kos in chunks(sorted(scopes)):
-        flags = {f"_p{i}": scopes[k] & F.col("_ko").eqNullSafe(k) for i, k in enumerate(kos)}
-        flags |= {f"_n{i}": scopes[k] & ~F.col("_ko").eqNullSafe(k) for i, k in enumerate(kos)}
-        used = list(flags)
-        reach = F.lit(False)
-        for k in kos:
-            reach = reach | scopes[k]
-        weighted = counts.table.filter(reach).select(
-            *[F.col(f"`{c}`") for c in features],
-            *[F.when(flag, F.col("_n")).otherwise(0).alias(n) for n, flag in flags.items()],
-        )
-        by_value = (
-            weighted.unpivot(used, list(features), "feature", "label")
-            .filter(F.col("label").isNotNull())
-            .groupBy("feature", "label")
-            .agg(*[F.sum(c).alias(c) for c in used])
-        )
-        picks = []
-        for i, k in enumerate(kos):
-            p0, n0 = totals[k]
-            p1, n1 = F.col(f"_p{i}"), F.col(f"_n{i}")
-            base = math.log2(p0 / (p0 + n0)) if p0 else 0.0
-            gain = F.when(p1 > 0, p1 * (F.log2(p1 / (p1 + n1)) - F.lit(base))).otherwise(F.lit(-1.0))
-            # The same gain summed in another order may differ in its last digits.
-            rank = F.struct(-F.round(gain, 9), F.col("feature"), F.col("label"))
-            picks.append(
-                F.min_by(
-                    F.struct(
-                        "feature", "label", p1.alias("p"), n1.alias("n"), gain.alias("gain")
-                    ),
-                    rank,
-                ).alias(f"_{i}")
+    sizes = sorted(set(prune_sizes))
+    place = F.conv(F.substring(shuffled(seed), 1, 6), 16, 10).cast("long") / float(16**6)
+    part = sum(((place >= size).cast("int") for size in sizes), F.lit(0))
+    binnings, frames = {}, []
+    for number, (train, bins) in sets.items():
+        numeric = numeric_columns(train, features)
+        other = [c for c in features if c not in numeric]
+        own = binnings[number] = {b.feature: b for b in fit_bins(train, numeric, other, bins)}
+        scored = [(train, part)]
+        if tests is not None:
+            scored.append((tests[number], F.lit(TEST)))
+        for cases, kept_part in scored:
+            frames.append(
+                cases.select(
+                    F.lit(number).alias("_set"),
+                    *[own[c].label().alias(c) for c in features],
+                    F.col(KO).alias("_ko"),
+                    kept_part.cast("int").alias("_part"),
+                )
             )
-        row = by_value.agg(*picks).first()
-        for i, k in enumerate(kos):
-            best = row[f"_{i}"]
-            good = best is not None and best["gain"] > GAIN_FLOOR
-            found[k] = tuple(best) if good else None
-    return found
-
-
-def tallies(
-    counts: Counts, questions: Mapping[tuple, tuple[str, Column]]
-) -> dict[tuple, tuple[int, int]]:
-    """Positives and negatives of a check among the rows of a condition, for many
-    (check, condition) questions in one job."""
-    found: dict[tuple, tuple[int, int]] = {}
-    keys = list(questions)
-    for at in range(0, len(keys), 2 * CHECKS_PER_JOB):
-        some = keys[at : at + 2 * CHECKS_PER_JOB]
-        sums = []
-        for i, key in enumerate(some):
-            ko, scope = questions[key]
-            own = F.col("_ko").eqNullSafe(ko)
-            sums.append(F.sum(F.when(scope & own, F.col("_n")).otherwise(0)).alias(f"_p{i}"))
-            sums.append(F.sum(F.when(scope & ~own, F.col("_n")).otherwise(0)).alias(f"_n{i}"))
-        row = counts.table.agg(*sums).first()
-        for i, key in enumerate(some):
-            found[key] = (row[f"_p{i}"] or 0, row[f"_n{i}"] or 0)
-    return found
-
-
-def grow(
-    counts: Counts,
-    starts: Mapping[str, Pairs],
-    covered: Mapping[str, Sequence[Pairs]],
-    settings: LearnSettings,
-    room: Mapping[str, int | None],
-) -> dict[str, Pairs]:
-    """Extend the rules of several checks in lock step on the growing part."""
-    rules = dict(starts)
-    scope = {ko: ~F.col("_prune") & ~any_holds(covered[ko]) & holds(rule) for ko, rule in rules.items()}
-    totals = tallies(counts, {ko: (ko, rows) for ko, rows in scope.items()})
-    active = {ko for ko in starts if totals[ko][0] > 0 and totals[ko][1] > 0 or not starts[ko]}
-    while active:
-        scopes, features = {}, set()
-        for ko in sorted(active):
-            scopes[ko] = ~F.col("_prune") & ~any_holds(covered[ko]) & holds(rules[ko])
-            features |= set(counts.binnings)
-        picks = best_conditions(counts, scopes, sorted(features), totals)
-        for ko in sorted(active):
-            best = picks[ko]
-            used = {f for f, _ in rules[ko]}
-            if best is None or best[0] in used:
-                active.discard(ko)
-                continue
-            rules[ko] = (*rules[ko], (best[0], best[1]))
-            totals[ko] = (best[2], best[3])
-            limits = [m for m in (settings.max_rule_conds, room[ko]) if m is not None]
-            full = bool(limits) and len(rules[ko]) >= min(limits)
-            if best[3] == 0 or full:
-                active.discard(ko)
-    return {ko: rule for ko, rule in rules.items() if rule}
-
-
-def prune(
-    counts: Counts, rules: Mapping[str, Pairs], covered: Mapping[str, Sequence[Pairs]]
-) -> dict[str, Pairs]:
-    """Cut each rule back to the prefix with the best ``(p-n)/(p+n)`` on the pruning
-    part; the shortest of equals."""
-    questions = {
-        (ko, length): (ko, F.col("_prune") & ~any_holds(covered[ko]) & holds(rule[:length]))
-        for ko, rule in rules.items()
-        for length in range(1, len(rule) + 1)
-    }
-    seen = tallies(counts, questions) if questions else {}
-    cut = {}
-    for ko, rule in rules.items():
-        def worth(length: int) -> float:
-            p, n = seen[(ko, length)]
-            return (p - n) / (p + n) if p + n else -1.0
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    counted = cut_lineage(rows.groupBy("_set", *features, "_ko", "_part").agg(F.count(F.lit(1)).alias("_n")))
+    train_rows = counted.filter(F.col("_part") != TEST)
+    seen = train_rows.groupBy("_set").agg(
+        F.sum("_n").alias("rows"),
+        F.count(F.lit(1)).alias("combinations"),
+        *[F.count_distinct(f"`{c}`").alias(f"_{i}") for i, c in enumerate(features)],
+    )
+    found = {r["_set"]: r for r in seen.collect()}
+    combinations = sum(r["combinations"] for r in found.values())
+    # Many short jobs follow: no more tasks than the table is worth.
+    frame = counted.coalesce(1 + combinations // COMBINATIONS_PER_TASK)
+    return Counts(
+        frame,
+        list(features),
+        sizes,
+        binnings,
+        {s: sum(found[s][f"_{i}"] for i in range(len(features))) if s in found else 0 for s in sets},
+        {s: found[s]["rows"] if s in found else 0 for s in sets},
+    )
 
-        best = max(range(1, len(rule) + 1), key=lambda length: (worth(length), -length))
-        # Nothing of the pruning part is covered: keep what was grown.
-        cut[ko] = rule if all(sum(seen[(ko, n)]) == 0 for n in range(1, len(rule) + 1)) else rule[:best]
-    return cut
+
+def count_looks(batch: pa.RecordBatch, looks: Sequence[Look], features: Sequence[str]) -> Iterator[tuple]:
+    """``look, attribute, bin label, counts`` over the rows of a batch; attribute None for all rows."""
+    number, part, weight = (batch[c].to_numpy(zero_copy_only=False) for c in ("_set", "_part", "_n"))
+    coded = {}
+    for name in ("_ko", *features):
+        column = batch[name].dictionary_encode()
+        codes = column.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        coded[name] = codes, column.dictionary.to_pylist()
+    masks: dict[tuple, np.ndarray] = {}
+
+    def meets(feature: str, label: str) -> np.ndarray:
+        if (feature, label) not in masks:
+            codes, labels = coded[feature]
+            masks[feature, label] = codes == labels.index(label) if label in labels else np.zeros(len(codes), bool)
+        return masks[feature, label]
+
+    def holds(rule: Pairs) -> np.ndarray:
+        if ("rule", rule) not in masks:
+            met = np.ones(batch.num_rows, bool)
+            for condition in rule:
+                met &= meets(*condition)
+            masks["rule", rule] = met
+        return masks["rule", rule]
+
+    for at, look in enumerate(looks):
+        rows = (number == look.table) & ((part == TEST) if look.test else (part != TEST)) & holds(look.rule)
+        for rule in look.covered:
+            rows &= ~holds(rule)
+        rows = np.flatnonzero(rows)
+        if not len(rows):
+            continue
+        kind = 2 * (part[rows] <= look.size_at).astype(np.int64) + ~meets("_ko", look.ko)[rows]
+        weights = weight[rows]
+        yield at, None, None, *np.bincount(kind, weights, 4).astype(np.int64).tolist()
+        if not look.growing:
+            continue
+        for feature in features:
+            codes, labels = coded[feature]
+            own = codes[rows]
+            some = own >= 0
+            sums = np.bincount(4 * own[some] + kind[some], weights[some], 4 * len(labels)).astype(np.int64).reshape(-1, 4)
+            for code in np.flatnonzero(sums.any(axis=1)).tolist():
+                yield at, feature, labels[code], *sums[code].tolist()
+
+
+_SUMS = ("gp", "gn", "pp", "pn")
+
+
+class Asker:
+    """Answers looks at a count table, one job at a time.  The condition of a look is the one with the
+    highest information gain on the growing part, ``p1 * (log2(p1/(p1+n1)) - log2(p0/(p0+n0)))``; ties
+    go to the first attribute and bin by name.  The expressions are made once, as the jobs are many."""
+
+    def __init__(self, counts: Counts):
+        self.counts = counts
+        p1, n1 = F.col("gp"), F.col("gn")
+        self.whole = F.col("feature").isNull()
+        look = Window.partitionBy("look")
+        gain = p1 * (F.log2(p1 / (p1 + n1)) - F.log2(F.col("p0") / (F.col("p0") + F.col("n0"))))
+        # The same gain summed in another order may differ in its last digits.
+        rank = F.struct(-F.round("gain", 9), F.col("feature"), F.col("label"))
+        self.sums = [F.sum(c).alias(c) for c in _SUMS]
+        self.base = {c: F.max(F.when(self.whole, F.col(s))).over(look) for c, s in (("p0", "gp"), ("n0", "gn"))}
+        self.gain = {"gain": F.when(~self.whole & (p1 > 0), gain)}
+        self.picks = [
+            F.max(F.when(self.whole, F.struct(*_SUMS))).alias("totals"),
+            F.min_by(F.struct("feature", "label", "gain", *_SUMS), F.when(F.col("gain").isNotNull(), rank)).alias("best"),
+        ]
+
+    def answer(self, looks: Sequence[Look]) -> list[Seen]:
+        """One job."""
+        features = self.counts.features
+        kinds = (pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4)
+        names = ["look", "feature", "label", *_SUMS]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = list(zip(*count_looks(batch, looks, features), strict=True)) or [[]] * 7
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        rows = (
+            self.counts.frame.mapInArrow(run, "look int, feature string, label string, gp long, gn long, pp long, pn long")
+            .repartition("look")
+            .groupBy("look", "feature", "label")
+            .agg(*self.sums)
+            .withColumns(self.base)
+            .withColumns(self.gain)
+            .groupBy("look")
+            .agg(*self.picks)
+            .collect()
+        )
+        seen = {r["look"]: r for r in rows}
+        answers = []
+        for at in range(len(looks)):
+            row = seen.get(at)
+            if row is None:
+                answers.append(Seen(Tally(0, 0, 0, 0)))
+                continue
+            best = row["best"]
+            if best is not None and best["gain"] > GAIN_FLOOR:
+                best = best["feature"], best["label"], best["gain"], Tally(*(best[c] for c in _SUMS))
+            else:
+                best = None
+            answers.append(Seen(Tally(*(row["totals"][c] for c in _SUMS)), best))
+        return answers
 
 
 def theory_bits(rule: Pairs, conditions: int) -> float:
@@ -251,156 +290,185 @@ def exception_bits(tp: int, fp: int, tn: int, fn: int) -> float:
     return choose(tp + fp, fp) + choose(tn + fn, fn)
 
 
-def description_lengths(
-    counts: Counts, rulesets: Mapping[tuple, tuple[str, Sequence[Pairs]]]
-) -> dict[tuple, float]:
-    """Description length of candidate rulesets, keyed freely; one job for all."""
-    questions = {key: (ko, any_holds(rules)) for key, (ko, rules) in rulesets.items()}
-    questions |= {("all", ko): (ko, F.lit(True)) for ko, _ in rulesets.values()}
-    seen = tallies(counts, questions)
-    lengths = {}
-    for key, (ko, rules) in rulesets.items():
-        (tp, fp), (pos, neg) = seen[key], seen[("all", ko)]
-        lengths[key] = exception_bits(tp, fp, neg - fp, pos - tp) + sum(
-            theory_bits(rule, counts.conditions) for rule in rules
-        )
-    return lengths
-
-
-def room_left(rules: Sequence[Pairs], settings: LearnSettings) -> int | None:
-    if settings.max_total_conds is None:
-        return None
-    return settings.max_total_conds - sum(len(r) for r in rules)
+Asking = Generator[list[Look], list[Seen], object]
 
 
-def add_rules(
-    counts: Counts,
-    kos: Sequence[str],
-    settings: LearnSettings,
-    found: dict[str, list[Pairs]],
-    by_length: bool,
-) -> None:
-    """Learn rules until each check runs out of positives, limits or good rules.
-
-    IREP stops at a rule that is wrong more often than right on the pruning part;
-    with ``by_length`` (RIPPER) at one that lengthens the description by more than
-    the allowance.
-    """
-    open_kos = set(kos)
-    shortest: dict[str, float] = {}
-    if by_length and open_kos:
-        lengths = description_lengths(counts, {(ko, "best"): (ko, found[ko]) for ko in sorted(open_kos)})
-        shortest = {ko: lengths[(ko, "best")] for ko in open_kos}
-    while open_kos:
-        for ko in sorted(open_kos):
-            full = settings.max_rules is not None and len(found[ko]) >= settings.max_rules
-            left = room_left(found[ko], settings)
-            if full or (left is not None and left <= 0):
-                open_kos.discard(ko)
-        if not open_kos:
-            break
-        rest = tallies(
-            counts,
-            {
-                (ko, part): (ko, ~any_holds(found[ko]) & (F.col("_prune") == (part == "prune")))
-                for ko in open_kos
-                for part in ("grow", "prune")
-            },
-        )
-        open_kos = {ko for ko in open_kos if rest[(ko, "grow")][0] > 0}
-        if not open_kos:
-            break
-        room = {ko: room_left(found[ko], settings) for ko in open_kos}
-        grown = grow(counts, {ko: () for ko in open_kos}, found, settings, room)
-        open_kos &= set(grown)
-        cut = prune(counts, grown, found)
-        if by_length:
-            lengths = description_lengths(
-                counts, {(ko, "new"): (ko, [*found[ko], cut[ko]]) for ko in cut}
-            )
-        judged = tallies(
-            counts,
-            {ko: (ko, F.col("_prune") & ~any_holds(found[ko]) & holds(rule)) for ko, rule in cut.items()},
-        ) if cut else {}
-        for ko, rule in cut.items():
-            p, n = judged[ko]
-            wrong = settings.prune_size > 0 and p <= n
-            if wrong and not by_length:
-                open_kos.discard(ko)
-                continue
+@dataclass
+class Learner:
+    """One check to learn on one training set."""
+
+    counts: Counts
+    table: int
+    ko: str
+    settings: LearnSettings
+    totals: tuple[int, int] = (0, 0)
+
+    def look(self, covered: Sequence[Pairs], rule: Pairs = (), growing: bool = False, test: bool = False) -> Look:
+        at = self.counts.prune_sizes.index(self.settings.prune_size)
+        return Look(self.table, self.ko, at, tuple(covered), rule, growing, test)
+
+    def room(self, rules: Sequence[Pairs]) -> int | None:
+        if self.settings.max_total_conds is None:
+            return None
+        return self.settings.max_total_conds - sum(len(r) for r in rules)
+
+    def length(self, rules: Sequence[Pairs], left: Tally, taken: Tally = Tally(0, 0, 0, 0)) -> float:
+        """Description length of a ruleset that leaves ``left`` but for ``taken``."""
+        positives, negatives = self.totals
+        tp, fp = positives - left.p + taken.p, negatives - left.n + taken.n
+        told = exception_bits(tp, fp, negatives - fp, positives - tp)
+        return told + sum(theory_bits(rule, self.counts.conditions[self.table]) for rule in rules)
+
+    def grow(self, covered: Sequence[Pairs], start: Pairs = ()) -> Asking:
+        """Extend a rule on the growing part; returns it with the counts of its prefixes."""
+        settings = self.settings
+        looks = [self.look(covered, start[:n], n == len(start)) for n in range(len(start) + 1)]
+        seen = yield looks
+        counts = [s.counts for s in seen]
+        rule, best = start, seen[-1].best
+        if start and not (counts[-1].grow_p > 0 and counts[-1].grow_n > 0):
+            return rule, counts
+        limits = [m for m in (settings.max_rule_conds, self.room(covered)) if m is not None]
+        while best is not None and best[0] not in {f for f, _ in rule}:
+            rule = (*rule, (best[0], best[1]))
+            counts.append(best[3])
+            if best[3].grow_n == 0 or (limits and len(rule) >= min(limits)):
+                break
+            ((now),) = yield [self.look(covered, rule, True)]
+            best = now.best
+        return rule, counts
+
+    def add_rules(self, found: list[Pairs], by_length: bool) -> Asking:
+        """Learn rules until the check runs out of positives, limits or good rules.
+
+        IREP stops at a rule that is wrong more often than right on the pruning part; with
+        ``by_length`` (RIPPER) also at one that lengthens the description beyond the allowance.
+        """
+        settings, shortest = self.settings, None
+        while settings.max_rules is None or len(found) < settings.max_rules:
+            room = self.room(found)
+            if room is not None and room <= 0:
+                break
+            rule, counts = yield from self.grow(found)
+            if not found:
+                self.totals = counts[0].p, counts[0].n
+            if shortest is None:
+                shortest = self.length(found, counts[0])
+            if not rule or counts[0].grow_p == 0:
+                break
+            rule = pruned(rule, counts)
+            taken = counts[len(rule)]
+            if settings.prune_size > 0 and taken.prune_p <= taken.prune_n:
+                break
             if by_length:
-                if wrong or lengths[(ko, "new")] > shortest[ko] + settings.dl_allowance:
-                    open_kos.discard(ko)
-                    continue
-                shortest[ko] = min(shortest[ko], lengths[(ko, "new")])
-            found[ko] = [*found[ko], rule]
-
-
-def irep(counts: Counts, kos: Sequence[str], settings: LearnSettings) -> dict[str, list[Pairs]]:
-    found: dict[str, list[Pairs]] = {ko: [] for ko in kos}
-    add_rules(counts, kos, settings, found, by_length=False)
-    return found
-
-
-def optimise(counts: Counts, found: dict[str, list[Pairs]], settings: LearnSettings) -> None:
-    """One round: each rule competes with a replacement grown from nothing and a
-    revision grown from itself; the shortest description stays."""
-    longest = max((len(rules) for rules in found.values()), default=0)
-    for at in range(longest):
-        kos = sorted(ko for ko, rules in found.items() if len(rules) > at)
-        others = {ko: [r for i, r in enumerate(found[ko]) if i != at] for ko in kos}
-        room = {ko: room_left(others[ko], settings) for ko in kos}
-        replacement = prune(counts, grow(counts, {ko: () for ko in kos}, others, settings, room), others)
-        full = {
-            ko
-            for ko in kos
-            if settings.max_rule_conds is not None and len(found[ko][at]) >= settings.max_rule_conds
-        }
-        starts = {ko: found[ko][at] for ko in kos if ko not in full}
-        revision = prune(counts, grow(counts, starts, others, settings, room), others)
-        offers = {}
-        for ko in kos:
-            for rank, rule in enumerate((found[ko][at], replacement.get(ko), revision.get(ko))):
-                if rule is not None:
-                    offers[(ko, rank)] = (ko, [*found[ko][:at], rule, *found[ko][at + 1 :]])
-        lengths = description_lengths(counts, offers)
-        for ko in kos:
-            best = min((key for key in offers if key[0] == ko), key=lambda key: (lengths[key], key[1]))
-            found[ko] = offers[best][1]
-
-
-def drop_longer(counts: Counts, found: dict[str, list[Pairs]]) -> None:
-    """Delete rules, last first, whose absence makes the description shorter."""
-    for ko in found:
-        found[ko] = list(dict.fromkeys(found[ko]))
-    longest = max((len(rules) for rules in found.values()), default=0)
-    for at in reversed(range(longest)):
-        kos = [ko for ko, rules in found.items() if len(rules) > at]
-        offers = {(ko, "with"): (ko, found[ko]) for ko in kos}
-        offers |= {(ko, "without"): (ko, [r for i, r in enumerate(found[ko]) if i != at]) for ko in kos}
-        lengths = description_lengths(counts, offers)
-        for ko in kos:
-            if lengths[(ko, "without")] < lengths[(ko, "with")]:
-                found[ko] = offers[(ko, "without")][1]
-
-
-def ripper(counts: Counts, kos: Sequence[str], settings: LearnSettings) -> dict[str, list[Pairs]]:
-    found: dict[str, list[Pairs]] = {ko: [] for ko in kos}
-    add_rules(counts, kos, settings, found, by_length=True)
-    for _ in range(settings.k):
-        before = {ko: list(rules) for ko, rules in found.items()}
-        optimise(counts, found, settings)
-        add_rules(counts, kos, settings, found, by_length=True)
-        if found == before:
-            break
-    drop_longer(counts, found)
-    return found
-
-
-LEARNERS: dict[str, Callable[[Counts, Sequence[str], LearnSettings], dict[str, list[Pairs]]]] = {
-    "IREP": irep,
-    "RIPPER": ripper,
-}
+                length = self.length([*found, rule], counts[0], taken)
+                if length > shortest + settings.dl_allowance:
+                    break
+                shortest = min(shortest, length)
+            found.append(rule)
+
+    def optimise(self, found: list[Pairs]) -> Asking:
+        """Each rule competes with a replacement grown from nothing and a revision grown from itself;
+        the shortest description stays."""
+        for at, own in enumerate(found):
+            others = [r for i, r in enumerate(found) if i != at]
+            full = self.settings.max_rule_conds is not None and len(own) >= self.settings.max_rule_conds
+            grown = yield from together(self.grow(others), self.stay(others, own) if full else self.grow(others, own))
+            left = grown[0][1][0]
+            offers = [(own, grown[1][1][len(own)])]
+            for rule, counts in grown if not full else grown[:1]:
+                if rule:
+                    cut = pruned(rule, counts)
+                    offers.append((cut, counts[len(cut)]))
+            lengths = [self.length([*others, rule], left, taken) for rule, taken in offers]
+            found[at] = offers[lengths.index(min(lengths))][0]
+
+    def stay(self, covered: Sequence[Pairs], rule: Pairs) -> Asking:
+        """A rule as it is, with the counts of its prefixes."""
+        seen = yield [self.look(covered, rule[:n]) for n in range(len(rule) + 1)]
+        return rule, [s.counts for s in seen]
+
+    def drop_longer(self, found: list[Pairs]) -> Asking:
+        """Delete rules, last first, whose absence makes the description shorter."""
+        found[:] = dict.fromkeys(found)
+        at = len(found) - 1
+        while at >= 0:
+            less = [[r for i, r in enumerate(found) if i != gone] for gone in range(at + 1)]
+            seen = yield [self.look(rules) for rules in (found, *less)]
+            whole = self.length(found, seen[0].counts)
+            while at >= 0 and self.length(less[at], seen[at + 1].counts) >= whole:
+                at -= 1
+            if at >= 0:
+                del found[at]
+                at -= 1
+
+    def irep(self) -> Asking:
+        found: list[Pairs] = []
+        yield from self.add_rules(found, by_length=False)
+        return found
+
+    def ripper(self) -> Asking:
+        found: list[Pairs] = []
+        yield from self.add_rules(found, by_length=True)
+        for _ in range(self.settings.k):
+            before = list(found)
+            yield from self.optimise(found)
+            yield from self.add_rules(found, by_length=True)
+            if found == before:
+                break
+        yield from self.drop_longer(found)
+        return found
+
+
+def pruned(rule: Pairs, counts: Sequence[Tally]) -> Pairs:
+    """The prefix with the best ``(p-n)/(p+n)`` on the pruning part, the shortest of equals; the
+    whole rule where none covers any of it."""
+    worth = {}
+    for length in range(1, len(rule) + 1):
+        p, n = counts[length].prune_p, counts[length].prune_n
+        worth[length] = (p - n) / (p + n) if p + n else -1.0
+    if all(counts[length].prune_p + counts[length].prune_n == 0 for length in worth):
+        return rule
+    return rule[: max(worth, key=lambda length: (worth[length], -length))]
+
+
+def together(*askers: Asking) -> Asking:
+    """Several generators asked at the same time; returns what each returns."""
+    results: list = [None] * len(askers)
+    waiting: dict[int, list[Look]] = {}
+    for at, asker in enumerate(askers):
+        try:
+            waiting[at] = next(asker)
+        except StopIteration as end:
+            results[at] = end.value
+    while waiting:
+        seen = yield [look for looks in waiting.values() for look in looks]
+        for at, looks in list(waiting.items()):
+            own, seen = seen[: len(looks)], seen[len(looks) :]
+            try:
+                waiting[at] = askers[at].send(own)
+            except StopIteration as end:
+                results[at] = end.value
+                del waiting[at]
+    return results
+
+
+def ask_all(counts: Counts, askers: Sequence[Asking]) -> list:
+    """Run generators to their ends, with a job for each round of questions."""
+    every = together(*askers)
+    asker = Asker(counts)
+    try:
+        looks = next(every)
+        while True:
+            seen = []
+            for begin in range(0, len(looks), LOOKS_PER_JOB):
+                seen += asker.answer(looks[begin : begin + LOOKS_PER_JOB])
+            looks = every.send(seen)
+    except StopIteration as end:
+        return end.value
+
+
+LEARNERS: dict[str, Callable[[Learner], Asking]] = {"IREP": Learner.irep, "RIPPER": Learner.ripper}
 
 
 def learn_rules(
@@ -415,13 +483,14 @@ def learn_rules(
         raise RuleLearningError(f"unknown rule algorithm {algorithm!r}")
     if not kos or not features:
         return {ko: [] for ko in kos}
-    counts = count_table(train, features, settings)
-    if counts.rows == 0:
+    counts = count_tables({0: (train, settings.n_discretize_bins)}, features, [settings.prune_size], settings.seed)
+    if counts.rows[0] == 0:
         return {ko: [] for ko in kos}
-    found = LEARNERS[algorithm](counts, list(kos), settings)
+    learners = [Learner(counts, 0, ko, settings) for ko in kos]
+    found = ask_all(counts, [LEARNERS[algorithm](one) for one in learners])
     return {
-        ko: [tuple(counts.binnings[f].condition(label) for f, label in rule) for rule in rules]
-        for ko, rules in found.items()
+        ko: [tuple(counts.binnings[0][f].condition(label) for f, label in rule) for rule in rules]
+        for ko, rules in zip(kos, found, strict=True)
     }
 
 
@@ -431,10 +500,12 @@ class Teacher:
 
     model: object
     importances: dict[str, float] = field(default_factory=dict)
+    auc: float | None = None
 
 
 def boosted_trees(features: Sequence[str], train: DataFrame, iterations: int = 10, depth: int = 5):
-    """An unfitted boosted-tree pipeline over mixed attributes; label in ``_y``."""
+    """An unfitted boosted-tree pipeline over mixed attributes; label in ``_y``.  The trees' bins hold
+    the values of the richest attribute, however many they are."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -443,6 +514,7 @@ def boosted_trees(features: Sequence[str], train: DataFrame, iterations: int = 1
     other = [c for c in features if c not in numeric]
     stages = []
     inputs = list(numeric)
+    values = train.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in other]).first() if other else [0]
     if other:
         codes = [f"_code_{i}" for i in range(len(other))]
         stages.append(StringIndexer(inputCols=other, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -450,7 +522,7 @@ def boosted_trees(features: Sequence[str], train: DataFrame, iterations: int = 1
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
     stages.append(
         GBTClassifier(
-            featuresCol="_features", labelCol="_y", maxIter=iterations, maxDepth=depth, maxBins=256, seed=0
+            featuresCol="_features", labelCol="_y", maxIter=iterations, maxDepth=depth, maxBins=max(256, max(values) + 1), seed=0
         )
     )
     return Pipeline(stages=stages), numeric + other
@@ -462,8 +534,10 @@ def surrogate_rules(
     features: Sequence[str],
     settings: LearnSettings = LearnSettings(),
     teacher: Callable | None = None,
+    test: DataFrame | None = None,
 ) -> tuple[dict[str, list[Rule]], dict[str, Teacher]]:
-    """Rules that imitate a teacher: fit it per check, then learn its predictions.
+    """Rules that imitate a teacher: fit it per check, then learn its predictions.  The teacher's area
+    under the ROC curve is measured on ``test``.
 
     ``teacher(features, train)`` returns an unfitted estimator with label ``_y`` and
     output ``prediction``, and the attribute order of its importances.
@@ -471,18 +545,34 @@ def surrogate_rules(
     rules: dict[str, list[Rule]] = {}
     teachers: dict[str, Teacher] = {}
     for ko in kos:
-        marked = train.withColumn("_y", F.col(KO).eqNullSafe(ko).cast("double"))
-        classes = marked.select("_y").distinct().count()
-        if classes < 2:
-            rules[ko], teachers[ko] = [], Teacher(None)
+        teachers[ko] = fit_teacher(train, ko, features, teacher, test)
+        if teachers[ko].model is None:
+            rules[ko] = []
             continue
-        estimator, order = (teacher or boosted_trees)(features, train)
-        model = estimator.fit(marked)
-        said = model.transform(marked).withColumn(KO, F.when(F.col("prediction") == 1.0, F.lit(ko)))
+        said = teachers[ko].model.transform(train).withColumn(KO, F.when(F.col("prediction") == 1.0, F.lit(ko)))
         rules |= learn_rules(said.select(*train.columns), [ko], features, "RIPPER", settings)
-        last = model.stages[-1] if hasattr(model, "stages") else model
-        weights = getattr(last, "featureImportances", None)
-        teachers[ko] = Teacher(
-            model, dict(zip(order, (float(w) for w in weights.toArray()))) if weights is not None else {}
-        )
     return rules, teachers
+
+
+def fit_teacher(
+    train: DataFrame, ko: str, features: Sequence[str], teacher: Callable | None = None, test: DataFrame | None = None
+) -> Teacher:
+    """The teacher of a check; without a model where the check rejects all cases or none."""
+    marked = train.withColumn("_y", F.col(KO).eqNullSafe(ko).cast("double"))
+    if marked.select("_y").distinct().count() < 2:
+        return Teacher(None)
+    estimator, order = (teacher or boosted_trees)(features, train)
+    model = estimator.fit(marked)
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    weights = getattr(last, "featureImportances", None)
+    told = dict(zip(order, (float(w) for w in weights.toArray()))) if weights is not None else {}
+    return Teacher(model, told, None if test is None else teacher_area(model, test, ko))
+
+
+def teacher_area(model, test: DataFrame, ko: str) -> float | None:
+    """Area under the ROC curve of a teacher's scores; None where a class is missing."""
+    from pyspark.ml.functions import vector_to_array
+
+    said = model.transform(test.withColumn("_y", F.col(KO).eqNullSafe(ko).cast("double")))
+    score = vector_to_array("probability")[1] if "probability" in said.columns else F.col("prediction")
+    return score_area(said.select(score.alias("score"), (F.col("_y") == 1).alias("label"))).first()["auc"]

@@ -1,40 +1,27 @@
-"""Short name lists taken out of the data, with the size checked.
+"""Names taken out of the data: activities, checks and resources' roles are the vocabulary of a log.
 
-Activity and check names are vocabulary, normally a few dozen.  As a Python list
-they become literals, so membership filters reach the file scan.  A vocabulary
-larger than ``MAX_LITERALS`` stays a table and is semi-joined instead.
+As Python lists they become literals (hash sets in plans), so membership filters reach the file scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.lineage import cut_lineage
-
-MAX_LITERALS = 1_000
-
-Names = "list[str] | DataFrame"
-
 
-def names_of(df: DataFrame, column: str) -> Names:
-    """Distinct non-null names of a column: a sorted list, or a table if too many."""
+def names_of(df: DataFrame, column: str) -> list[str]:
+    """Distinct non-null names of a column, sorted."""
     distinct = df.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    rows = distinct.limit(MAX_LITERALS + 1).collect()
-    if len(rows) <= MAX_LITERALS:
-        return sorted(r["name"] for r in rows)
-    return cut_lineage(distinct)
+    return sorted(r["name"] for r in distinct.toLocalIterator())
 
 
-def keep_names(df: DataFrame, column: str, names: Names) -> DataFrame:
+def keep_names(df: DataFrame, column: str, names: Iterable[str]) -> DataFrame:
     """Rows whose ``column`` is one of ``names``."""
-    if isinstance(names, DataFrame):
-        return df.join(names.select(F.col("name").alias(column)), column, "left_semi").select(*df.columns)
     return df.filter(F.col(column).isin(list(names)))
 
 
-def names_frame(spark: SparkSession, names: Names, column: str) -> DataFrame:
+def names_frame(spark: SparkSession, names: Iterable[str], column: str) -> DataFrame:
     """The names as a one-column table."""
-    if isinstance(names, DataFrame):
-        return names.select(F.col("name").alias(column))
     return spark.createDataFrame([(n,) for n in names], f"{column} string")

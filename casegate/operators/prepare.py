@@ -83,7 +83,8 @@ def parse_timestamps(df: DataFrame, columns: Sequence[str], strftime_format: str
 
 
 def drop_native_boundaries(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(ACTIVITY).isin(*NATIVE_BOUNDARIES))
+    """Rows without an activity stay."""
+    return df.filter(~F.coalesce(F.col(ACTIVITY).isin(*NATIVE_BOUNDARIES), F.lit(False)))
 
 
 def drop_attributes(df: DataFrame) -> DataFrame:
@@ -97,7 +98,11 @@ def keep_tasks(df: DataFrame, element: str = "elementId") -> DataFrame:
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of equal rows; a sequence column is not compared, the first of them stays."""
+    if SEQ not in df.columns:
+        return df.dropDuplicates()
+    others = [F.col(f"`{c}`") for c in df.columns if c != SEQ]
+    return df.groupBy(*others).agg(F.min(SEQ).alias(SEQ)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def to_intervals(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -188,9 +193,10 @@ def to_intervals(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def canonical(df: DataFrame, one_timestamp: bool = False) -> DataFrame:
     """Select into the canonical log.  With one timestamp a row starts when it ends;
-    without a sequence column the order of equal timestamps follows the activity."""
+    without a sequence column rows are numbered as they are read, file by file.  Such numbers are
+    unique, but write the log before it is used twice: they follow the partitions."""
     start = F.col(END_TS) if one_timestamp or START_TS not in df.columns else F.col(START_TS)
-    seq: Column = F.col(SEQ).cast("long") if SEQ in df.columns else F.xxhash64(ACTIVITY, RESOURCE)
+    seq: Column = F.col(SEQ).cast("long") if SEQ in df.columns else F.monotonically_increasing_id()
     return df.select(
         F.col(CASE).cast("string").alias(CASE),
         seq.alias(SEQ),

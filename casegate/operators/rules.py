@@ -231,9 +231,11 @@ def holdout_quality(test: DataFrame, rulesets: Rulesets) -> DataFrame:
             "tn": F.count_if(~fires & ~is_ko),
         },
     )
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.withColumns(
         {
+            # A ruleset gives one operating point of the ROC curve.
+            "roc_auc": (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2,
             "precision": F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)),
             "recall": F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)),
             "f1_score": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)),
@@ -252,7 +254,7 @@ def rule_metrics(
         names_frame(spark, sorted(rulesets), KO_KEY)
         .join(support_and_confidence(test if scope == "test" else cases, rulesets, available), KO_KEY, "left")
         .join(
-            holdout_quality(test, rulesets).select(KO_KEY, "precision", "recall", "f1_score"), KO_KEY, "left"
+            holdout_quality(test, rulesets).select(KO_KEY, "precision", "recall", "f1_score", "roc_auc"), KO_KEY, "left"
         )
         .join(counts, KO_KEY, "left")
         .fillna(0, ["rule_count", "condition_count"])
@@ -271,7 +273,7 @@ def confidence_warnings(metrics: DataFrame, threshold: float) -> DataFrame:
     return low_confidence(metrics, threshold).select(
         KO_KEY,
         F.format_string(
-            'Warning: "%s" knock-out rule confidence is below threshold (%s < %s)',
+            'The rules of "%s" hold too rarely: confidence %s, at least %s is asked for',
             KO_KEY,
             F.round("confidence", 3).cast("string"),
             F.lit(str(threshold)),

@@ -9,10 +9,10 @@ from dataclasses import fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegate.operators.learn import LearnSettings, learn_rules
-from casegate.operators.rules import per_ko
+from casegate.lineage import write_table
+from casegate.operators.learn import LEARNERS, Learner, LearnSettings, ask_all, count_tables
 from casegate.operators.splits import stratified_folds, time_folds
-from casegate.schema import KO, KO_KEY
+from casegate.schema import CASE, KO, KO_KEY
 
 # What is tried when no grid is given.
 DEFAULT_GRIDS = {
@@ -47,40 +47,61 @@ def grid_scores(
 ) -> DataFrame:
     """Mean score of each check and setting over folds.
 
-    Time-aware: three expanding folds and F1.  Otherwise five stratified folds and
-    balanced accuracy.  A fold without any case of a class scores 0.
+    Time-aware: three expanding folds and F1.  Otherwise five stratified folds and balanced accuracy.
+    A fold without any case of a class scores 0.  Every fold is binned by its own training cases; all
+    checks, folds and settings learn in lock step from one count table, which also holds the cases
+    that are scored.
     """
     folds = (
         time_folds(cases, TIME_FOLDS) if time_aware else stratified_folds(cases, RANDOM_FOLDS, F.col(KO))
     )
-    count = TIME_FOLDS if time_aware else RANDOM_FOLDS
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    f1 = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
-    balanced = F.coalesce((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2, F.lit(0.0))
-    results = None
-    for choice in combinations(grid or DEFAULT_GRIDS[algorithm], algorithm):
-        tried = replace(settings, **choice)
-        for fold in range(1, count + 1):
-            inside = F.col("fold") < fold if time_aware else F.col("fold") != fold
-            found = learn_rules(folds.filter(inside), kos, features, algorithm, tried)
-            scored = per_ko(
-                folds.filter(F.col("fold") == fold),
-                found,
-                lambda fires, is_ko: {
-                    "tp": F.count_if(fires & is_ko),
-                    "fp": F.count_if(fires & ~is_ko),
-                    "fn": F.count_if(~fires & is_ko),
-                    "tn": F.count_if(~fires & ~is_ko),
-                },
-            ).select(
-                KO_KEY,
-                F.lit(fold).alias("fold"),
-                *[F.lit(v).alias(n) for n, v in choice.items()],
-                (f1 if time_aware else balanced).alias("score"),
-            )
-            results = scored if results is None else results.unionByName(scored)
-    names = [c for c in results.columns if c not in (KO_KEY, "fold", "score")]
-    return results.groupBy(KO_KEY, *names).agg(F.avg("score").alias("mean_score"))
+    folds = write_table(folds.select(CASE, KO, "fold", *[F.col(f"`{c}`") for c in features]))
+    choices = [replace(settings, **c) for c in combinations(grid or DEFAULT_GRIDS[algorithm], algorithm)]
+    sets, tests, number = {}, {}, {}
+    for fold in range(1, (TIME_FOLDS if time_aware else RANDOM_FOLDS) + 1):
+        inside = F.col("fold") < fold if time_aware else F.col("fold") != fold
+        for bins in sorted({c.n_discretize_bins for c in choices}):
+            at = number[fold, bins] = len(number)
+            sets[at] = folds.filter(inside), bins
+            tests[at] = folds.filter(F.col("fold") == fold)
+    counts = count_tables(sets, features, [c.prune_size for c in choices], settings.seed, tests)
+    learners, tried = [], []
+    for choice in choices:
+        for (fold, bins), at in number.items():
+            if bins == choice.n_discretize_bins:
+                for ko in kos:
+                    learners.append(Learner(counts, at, ko, choice))
+                    tried.append((ko, choice))
+    found = ask_all(counts, [LEARNERS[algorithm](one) for one in learners])
+    looks = [one.look(rules, test=True) for one, rules in zip(learners, found, strict=True) for rules in ([], rules)]
+    seen = ask_all(counts, [asking(looks)])[0]
+    scores: dict[tuple, list[float]] = {}
+    for (ko, choice), every, left in zip(tried, seen[::2], seen[1::2], strict=True):
+        fn, tn = left.counts.p, left.counts.n
+        tp, fp = every.counts.p - fn, every.counts.n - tn
+        scores.setdefault((ko, choice), []).append(f1(tp, fp, fn) if time_aware else balanced(tp, fp, fn, tn))
+    names = [f.name for f in fields(LearnSettings) if f.name in (grid or DEFAULT_GRIDS[algorithm])]
+    names = [n for n in names if n in combinations(grid or DEFAULT_GRIDS[algorithm], algorithm)[0]]
+    kinds = {"prune_size": "double", "dl_allowance": "double"}
+    rows = [
+        (ko, *(float(v) if kinds.get(n) else v for n in names for v in [getattr(choice, n)]), sum(own) / len(own))
+        for (ko, choice), own in scores.items()
+    ]
+    schema = ", ".join(f"{n} {kinds.get(n, 'int')}" for n in names)
+    return cases.sparkSession.createDataFrame(rows, f"{KO_KEY} string, {schema}{', ' if schema else ''}mean_score double")
+
+
+def asking(looks):
+    """Only looks, all at once."""
+    return (yield looks)
+
+
+def f1(tp: int, fp: int, fn: int) -> float:
+    return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+
+def balanced(tp: int, fp: int, fn: int, tn: int) -> float:
+    return (tp / (tp + fn) + tn / (tn + fp)) / 2 if tp + fn and tn + fp else 0.0
 
 
 def best_settings(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegate.config import AnalysisConfig
-from casegate.errors import LogNotLoadedError
+from casegate.errors import LogNotLoadedError, NoKnockoutsError, RuleLearningError
 from casegate.functions.stats import value_ranges
 from casegate.lineage import write_table
 from casegate.operators import redesign, splits
@@ -42,8 +44,10 @@ def redesign_options(
     spark = log.sparkSession
     table = rules_table(spark, rulesets)
     known = {r[KO_KEY]: r["effort"] for r in effort.select(KO_KEY, "effort").collect()}
-    # A check that never rejects has no effort; it goes last.
-    weights = {ko: known[ko] if known.get(ko) is not None else float("inf") for ko in rulesets}
+    # A check that never rejects has no effort; it goes last: it weighs more than all others.
+    measured = {ko: known[ko] for ko in rulesets if known.get(ko) is not None}
+    last = 1.0 + sum(abs(w) for w in measured.values())
+    weights = {ko: measured.get(ko, last) for ko in rulesets}
     found = redesign.dependencies(log, rule_features(table))
     needs = redesign.dependency_map(found, sorted(rulesets))
     best = redesign.optimal_order(spark, weights, needs, config.disallowed_permutations)
@@ -123,25 +127,28 @@ class Analysis:
         base = "IREP" if algorithm == "IREP" else "RIPPER"
         if config.grid_search and algorithm != "CATBOOST-RIPPER":
             grid = config.param_grid or DEFAULT_GRIDS[base]
-            scores = grid_scores(
-                train, kos, features, base, grid, settings, time_aware=not config.skip_temporal_holdout
-            )
-            chosen |= best_settings(scores, settings)
+            try:
+                scores = grid_scores(
+                    train, kos, features, base, grid, settings, time_aware=not config.skip_temporal_holdout
+                )
+                chosen |= best_settings(scores, settings)
+            except (PySparkException, RuleLearningError, ArithmeticError, LookupError, ValueError) as error:
+                warnings.warn(f"grid search failed, the given settings are used: {error}", stacklevel=2)
         # Checks with the same settings learn together; balanced ones each on a sample.
         for tried in dict.fromkeys(chosen.values()):
             group = [ko for ko in kos if chosen[ko] == tried]
             if config.balance_classes and config.skip_temporal_holdout:
                 for ko in group:
                     sample = splits.balance_classes(train, F.col(KO).eqNullSafe(ko))
-                    rulesets |= self.fit(sample, [ko], features, algorithm, tried, teachers)
+                    rulesets |= self.fit(sample, [ko], features, algorithm, tried, teachers, test)
             else:
-                rulesets |= self.fit(train, group, features, algorithm, tried, teachers)
+                rulesets |= self.fit(train, group, features, algorithm, tried, teachers, test)
         return rulesets, chosen, teachers, test
 
     @staticmethod
-    def fit(train, kos, features, algorithm, settings, teachers):
+    def fit(train, kos, features, algorithm, settings, teachers, test):
         if algorithm == "CATBOOST-RIPPER":
-            found, fitted = surrogate_rules(train, kos, features, settings)
+            found, fitted = surrogate_rules(train, kos, features, settings, test=test)
             teachers |= fitted
             return found
         return learn_rules(train, kos, features, algorithm, settings)
@@ -153,6 +160,8 @@ class Analysis:
         found = discover(log, config)
         labels = write_table(label(log, found.kos, config))
         kos = check_labels(labels)
+        if not kos:
+            raise NoKnockoutsError("no check rejects a case")
         labelled = label_log(log, labels)
         step = config.custom_log_preprocessing_function
         if step is not None:
@@ -166,7 +175,7 @@ class Analysis:
         measures = write_table(
             rule_metrics(cases, test, rulesets, available_cases(labelled, kos))
         )
-        warnings = confidence_warnings(measures, config.confidence_threshold)
+        low_rules = confidence_warnings(measures, config.confidence_threshold)
         if config.drop_low_confidence_rules:
             low = low_confidence(measures, config.confidence_threshold, config.support_threshold)
             dropped = {r[KO_KEY] for r in low.collect()}
@@ -183,5 +192,5 @@ class Analysis:
         if config.output:
             write_report(numbers, f"{config.output}/ko_analysis_report")
         return Result(
-            labelled, labels, kos, cases, rulesets, chosen, teachers, measures, numbers, warnings, options
+            labelled, labels, kos, cases, rulesets, chosen, teachers, measures, numbers, low_rules, options
         )

@@ -21,13 +21,15 @@ def rounded(df, *columns, digits=6):
 # --- reading and preparation --------------------------------------------------
 
 def visits(spark, folder):
-    """Lifecycle rows: a view opens a visit of the user, a click completes one."""
+    """Lifecycle rows of all events: a view or signup opens a visit or stay of the user, everything
+    else completes one; errors are left without a meaning, as in many logs."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.filter(F.col("event_type").isin("view", "click")).select(
+    kind = F.col("event_type")
+    return events.select(
         F.col("user_id").cast("string").alias(CASE),
         F.col("event_id").alias("seq"),
-        F.lit("Visit").alias(ACTIVITY),
-        F.when(F.col("event_type") == "view", "start").otherwise("complete").alias("transition"),
+        F.when(kind.isin("view", "click"), "Visit").otherwise("Stay").alias(ACTIVITY),
+        F.when(kind.isin("view", "signup"), "start").when(kind != "error", "complete").otherwise("suspend").alias("transition"),
         F.concat(F.lit("R"), F.get_json_object("props", "$.k").cast("long") % 10).alias("resource"),
         "ts",
     )
@@ -35,24 +37,26 @@ def visits(spark, folder):
 
 VISITS = """
 WITH rows AS (
-  SELECT CAST(user_id AS VARCHAR) AS case_id, event_id AS seq, 'Visit' AS activity,
-         CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS o, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS c,
+  SELECT CAST(user_id AS VARCHAR) AS case_id, event_id AS seq,
+         CASE WHEN event_type IN ('view', 'click') THEN 'Visit' ELSE 'Stay' END AS activity,
+         CASE WHEN event_type IN ('view', 'signup') THEN 1 ELSE 0 END AS o,
+         CASE WHEN event_type NOT IN ('view', 'signup', 'error') THEN 1 ELSE 0 END AS c,
          'R' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 10) AS resource, ts
-  FROM events WHERE event_type IN ('view', 'click')),
+  FROM events),
 counted AS (
   SELECT *, sum(o) OVER w AS opens, sum(c) OVER w AS closes, sum(o - c) OVER w AS balance
-  FROM rows WINDOW w AS (PARTITION BY case_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+  FROM rows WINDOW w AS (PARTITION BY case_id, activity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
 lows AS (
-  SELECT *, least(0, min(balance) OVER (PARTITION BY case_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) AS low,
-         least(0, coalesce(min(balance) OVER (PARTITION BY case_id ORDER BY ts, seq
+  SELECT *, least(0, min(balance) OVER (PARTITION BY case_id, activity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) AS low,
+         least(0, coalesce(min(balance) OVER (PARTITION BY case_id, activity ORDER BY ts, seq
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low_before
   FROM counted),
-starts AS (SELECT case_id, opens AS k, ts, resource FROM lows WHERE o = 1),
+starts AS (SELECT case_id, activity, opens AS k, ts, resource FROM lows WHERE o = 1),
 completes AS (SELECT *, CASE WHEN low = low_before THEN closes + low END AS k FROM lows WHERE c = 1)
 SELECT c.case_id, c.seq, c.activity, CASE WHEN s.ts IS NULL THEN c.resource ELSE s.resource END AS resource,
        coalesce(s.ts, c.ts) AS start_ts, c.ts AS end_ts,
        date_diff('microsecond', coalesce(s.ts, c.ts), c.ts) AS duration_us
-FROM completes c LEFT JOIN starts s ON s.case_id = c.case_id AND s.k = c.k"""
+FROM completes c LEFT JOIN starts s ON s.case_id = c.case_id AND s.activity = c.activity AND s.k = c.k"""
 
 
 @register("a2_lifecycle_intervals", VISITS)

@@ -220,10 +220,7 @@ def with_parts(select: str, **values) -> str:
     used = needed(select, PARTS)
     text = select
     if used:
-        text = "WITH " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in used) + "\n" + select
+        text = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in used) + "\n" + select
     for name, value in values.items():
         text = text.replace(name, str(value))
     return text
-
-
-SELECTS: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casegate.functions.text import arrow_text
 from casegate.lineage import write_table
-from casegate.operators import enrich, metrics, redesign, roles, wip
+from casegate.operators import casetable, enrich, metrics, redesign, roles, wip
 from casegate.operators.ordered import sequence
 from casegate.plans.log_queries import rounded
 from casegate.plans.oracles import PARTS, with_parts
@@ -147,20 +147,34 @@ def k7(spark, folder):
 
 @register("k11_redesign_options")
 def k11(spark, folder):
+    """Every option as rows: ``option, what, how``."""
     from casegate.plans.analysis import redesign_options
 
     data = orders_labelled(spark, folder)
     efforts = metrics.efforts(data.base, data.labels, data.kos)
-    found = redesign_options(data.log, efforts, FIXED_RULES, None)
-    return found["relocation"].select("case_count", arrow_text(F.col("to_be")).alias("to_be"))
+    cases = casetable.case_table(data.base, data.labels)
+    found = redesign_options(data.log, efforts, FIXED_RULES, cases)
+    rows = None
+    for option, table in sorted(found.items()):
+        shown = [arrow_text(F.col(c)) if t.startswith("array<string>") else F.col(f"`{c}`").cast("string") for c, t in table.dtypes]
+        one = table.select(F.lit(option).alias("option"), shown[0].alias("what"), F.concat_ws(" | ", *shown[1:]).alias("how"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
-@register("f7_report_in_order", with_parts("""
-SELECT ko_activity AS "Knockout Check", available_cases AS "Total frequency", round(effort, 2) AS "Effort per rejection" FROM report"""))
+def hms_sql(us: str) -> str:
+    """Report text of microseconds."""
+    clock = f"(({us} // 1000000) % 86400 // 3600) || ':' || lpad(CAST(({us} // 1000000) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({us} // 1000000) % 60 AS VARCHAR), 2, '0')"
+    return f"CASE WHEN {us} // 86400000000 > 0 THEN ({us} // 86400000000) || ' days, ' ELSE '' END || {clock}"
+
+
+@register("f7_report_in_order", with_parts(f"""
+SELECT ko_activity AS "Knockout Check", available_cases AS "Total frequency", round(effort, 2) AS "Effort per rejection",
+       {hms_sql('waiting_waste_us')} AS "Total Waiting Time Waste" FROM report"""))
 def f7(spark, folder):
     data = day_labelled(spark, folder)
-    table = metrics.report_text(metrics.report(data.log, data.labels, data.kos, skip_waiting=True))
-    return table.select("Knockout Check", "Total frequency", "Effort per rejection")
+    table = metrics.report_text(metrics.report(data.log, data.labels, data.kos))
+    return table.select("Knockout Check", "Total frequency", "Effort per rejection", "Total Waiting Time Waste")
 
 
 # --- roles ------------------------------------------------------------------------------
@@ -318,16 +332,24 @@ def e4(spark, folder):
     return log.filter(~F.col(ACTIVITY).isin("Start", "End")).select(CASE, "seq", "n_task", "n_role")
 
 
-PARTS["front"] = """
-SELECT t, state FROM statesat WHERE series = 'role Front'"""
+PARTS["poolstates"] = """
+SELECT s.role, x.t, x.state / s.n AS busy FROM statesat x JOIN rsize s ON x.series = 'role ' || s.role"""
 
 
 @register("l5_role_pool_columns", with_parts("""
-SELECT d.case_id, d.seq, round(coalesce(f.state, 0) / (SELECT n FROM rsize WHERE role = 'Front'), 6) AS front_st_oc
-FROM (SELECT * FROM dayr WHERE activity NOT IN ('Start', 'End')) d ASOF LEFT JOIN front f ON d.start_ts >= f.t"""))
+SELECT d.case_id, d.seq, round(coalesce(fs.busy, 0), 6) AS front_st_oc, round(coalesce(fe.busy, 0), 6) AS front_end_oc,
+       round(coalesce(bs.busy, 0), 6) AS back_st_oc, round(coalesce(be.busy, 0), 6) AS back_end_oc
+FROM (SELECT *, 'Front' AS f, 'Back' AS b FROM dayr WHERE activity NOT IN ('Start', 'End')) d
+ASOF LEFT JOIN poolstates fs ON fs.role = d.f AND d.start_ts >= fs.t
+ASOF LEFT JOIN poolstates fe ON fe.role = d.f AND d.end_ts >= fe.t
+ASOF LEFT JOIN poolstates bs ON bs.role = d.b AND d.start_ts >= bs.t
+ASOF LEFT JOIN poolstates be ON be.role = d.b AND d.end_ts >= be.t"""))
 def l5_pool(spark, folder):
-    found = wip.role_pool(write_table(day_with_roles(spark, folder)), ["Front"])
-    return rounded(found.select(CASE, "seq", "front_st_oc"), "front_st_oc")
+    log = write_table(day_with_roles(spark, folder))
+    every = ["Back", "Front"]
+    starts = wip.role_pool(log, every).select(CASE, "seq", "front_st_oc", "back_st_oc")
+    ends = wip.role_pool(log, every, at_end=True).select(CASE, "seq", "front_end_oc", "back_end_oc")
+    return rounded(starts.join(ends, [CASE, "seq"]), "front_st_oc", "back_st_oc", "front_end_oc", "back_end_oc")
 
 
 PARTS["times"] = "SELECT t, count(*) OVER () AS n, row_number() OVER (ORDER BY t DESC) AS later FROM (SELECT DISTINCT t FROM deltas)"
@@ -397,8 +419,5 @@ def n6(spark, folder):
     from casegate.config import AnalysisConfig
     from casegate.plans.analysis import Analysis
 
-    config = AnalysisConfig(
-        post_knockout_activities=["Notify rejection"], rule_discovery_algorithm="IREP", max_rules=3,
-        max_rule_conds=1, prune_size=0.33,
-    )
+    config = AnalysisConfig(post_knockout_activities=["Notify rejection"], rule_discovery_algorithm="IREP")
     return Analysis(config).run(orders(spark, folder)).report

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casegate.functions import stats
 from casegate.functions.bins import quantile_edges
 from casegate.functions.text import percent
+from casegate.lineage import write_table
 from casegate.operators import casetable, learn, metrics, roc, rules, splits
 from casegate.operators.rules import Condition
 from casegate.plans.log_queries import day_variant_rows, rounded
@@ -62,7 +63,8 @@ SELECT *, tp / nullif(tp + fn, 0) AS tpr, fp / nullif(fp + tn, 0) AS fpr FROM (
   SELECT k.ko_activity, f.fold, count(*) FILTER (p.predicted AND p.is_ko) AS tp,
          count(*) FILTER (p.predicted AND NOT p.is_ko) AS fp, count(*) FILTER (NOT p.predicted AND p.is_ko) AS fn,
          count(*) FILTER (NOT p.predicted AND NOT p.is_ko) AS tn
-  FROM ofolds f JOIN opred p ON p.case_id = f.case_id JOIN okos k ON k.ko_activity = p.ko_activity GROUP BY 1, 2)"""
+  FROM ofolds f JOIN opred p ON p.case_id = f.case_id JOIN okos k ON k.ko_activity = p.ko_activity
+  WHERE f.fold > 0 GROUP BY 1, 2)"""
 
 PARTS["ocurve"] = """
 SELECT ko_activity, point, CASE WHEN point = 99 THEN 1.0 ELSE avg(y) END AS mean_tpr, stddev_pop(y) AS std_tpr FROM (
@@ -208,7 +210,8 @@ def d14(spark, folder):
 QUALITY = """
 SELECT ko_activity, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
        round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
-       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_score
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_score,
+       round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS roc_auc
 FROM (SELECT p.ko_activity, count(*) FILTER (predicted AND is_ko) AS tp, count(*) FILTER (predicted AND NOT is_ko) AS fp,
              count(*) FILTER (NOT predicted AND is_ko) AS fn, count(*) FILTER (NOT predicted AND NOT is_ko) AS tn
       FROM opred p JOIN otimed t ON t.case_id = p.case_id WHERE time_rank >= n - CAST(ceil(n * 0.2) AS BIGINT) GROUP BY 1)"""
@@ -217,12 +220,12 @@ FROM (SELECT p.ko_activity, count(*) FILTER (predicted AND is_ko) AS tp, count(*
 @register("d15_holdout_quality", with_parts(QUALITY))
 def d15(spark, folder):
     held_out = splits.temporal_holdout(order_cases(spark, folder)).filter("is_test")
-    return rounded(rules.holdout_quality(held_out, FIXED_RULES), "precision", "recall", "f1_score")
+    return rounded(rules.holdout_quality(held_out, FIXED_RULES), "precision", "recall", "f1_score", "roc_auc")
 
 
 def order_rates(spark, folder):
     folds = splits.time_folds(order_cases(spark, folder), 5)
-    return roc.fold_rates(roc.fold_counts(folds, FIXED_RULES))
+    return roc.fold_rates(roc.fold_counts(folds.filter(F.col("fold") > 0), FIXED_RULES))
 
 
 @register("d16_roc_curve_by_folds", with_parts("""
@@ -269,14 +272,14 @@ def d17_curve(spark, folder):
 
 
 @register("j11_metrics_table", with_parts(f"""
-SELECT m.ko_activity, m.support, m.confidence, q.precision, q.recall, q.f1_score,
+SELECT m.ko_activity, m.support, m.confidence, q.precision, q.recall, q.f1_score, q.roc_auc,
        CASE m.ko_activity WHEN 'Check Balance' THEN 2 ELSE 1 END AS rule_count,
        CASE m.ko_activity WHEN 'Check Price' THEN 1 ELSE 2 END AS condition_count
 FROM ({MEASURES}) m JOIN ({QUALITY}) q ON q.ko_activity = m.ko_activity"""))
 def j11(spark, folder):
     split = splits.temporal_holdout(order_cases(spark, folder))
     table = rules.rule_metrics(split, split.filter("is_test"), FIXED_RULES, available(spark, folder))
-    table = rounded(table, "support", "confidence", "precision", "recall", "f1_score")
+    table = rounded(table, "support", "confidence", "precision", "recall", "f1_score", "roc_auc")
     return table.drop("predicted", "predicted_true")
 
 
@@ -371,17 +374,19 @@ def h8(spark, folder):
 
 
 @register("h9_max_abs_scaling", with_parts("""
-SELECT case_id, round(coalesce(c_acctbal / (SELECT max(abs(c_acctbal)) FROM otimed WHERE time_rank < n - CAST(ceil(n * 0.2) AS BIGINT)), 0), 6) AS c_acctbal,
+SELECT case_id, time_rank >= n - CAST(ceil(n * 0.2) AS BIGINT) AS is_test,
+       round(coalesce(c_acctbal / (SELECT max(abs(c_acctbal)) FROM otimed WHERE time_rank < n - CAST(ceil(n * 0.2) AS BIGINT)), 0), 6) AS c_acctbal,
+       round(coalesce(o_totalprice / (SELECT max(abs(o_totalprice)) FROM otimed WHERE time_rank < n - CAST(ceil(n * 0.2) AS BIGINT)), 0), 6) AS o_totalprice,
        round((extract('hour' FROM start_ts) * 3600 + extract('minute' FROM start_ts) * 60
               + floor(extract('second' FROM start_ts))) / 86400, 6) AS st_daytime
-FROM otimed WHERE time_rank >= n - CAST(ceil(n * 0.2) AS BIGINT)"""))
+FROM otimed"""))
 def h9(spark, folder):
     daytime = F.hour("start_ts") * 3600 + F.minute("start_ts") * 60 + F.second("start_ts")
     split = splits.temporal_holdout(order_cases(spark, folder)).withColumn("st_daytime", daytime)
-    _, other = stats.max_abs_scale(
-        split.filter(~F.col("is_test")), split.filter("is_test"), ["c_acctbal"], ["st_daytime"]
-    )
-    return rounded(other.select(CASE, "c_acctbal", "st_daytime"), "c_acctbal", "st_daytime")
+    scaled = ["c_acctbal", "o_totalprice"]
+    parts = stats.max_abs_scale(split.filter(~F.col("is_test")), split.filter("is_test"), scaled, ["st_daytime"])
+    both = parts[0].unionByName(parts[1]).select(CASE, "is_test", *scaled, "st_daytime")
+    return rounded(both, *scaled, "st_daytime")
 
 
 # --- rules as tables and text ---------------------------------------------------------------
@@ -461,23 +466,19 @@ SELECT ko_activity, feature, label, p, n, round(gain, 6) AS gain FROM (
           FROM ocases c, okos k GROUP BY 1) t ON t.ko_activity = g.ko_activity WHERE p > 0)) WHERE r = 1"""))
 def j5_step(spark, folder):
     cases = order_cases(spark, folder)
-    counts = learn.count_table(cases, FEATURES, learn.LearnSettings(prune_size=0.0))
-    scopes = {ko: F.lit(True) for ko in sorted(FIXED_RULES)}
-    totals = learn.tallies(counts, {ko: (ko, F.lit(True)) for ko in scopes})
-    best = learn.best_conditions(counts, scopes, FEATURES, totals)
-    rows = [(ko, *found[:4], round(found[4], 6)) for ko, found in sorted(best.items())]
+    kos = sorted(FIXED_RULES)
+    settings = learn.LearnSettings(prune_size=0.0)
+    counts = learn.count_tables({0: (cases, settings.n_discretize_bins)}, FEATURES, [0.0])
+    looks = [learn.Learner(counts, 0, ko, settings).look([], growing=True) for ko in kos]
+    best = [seen.best for seen in learn.Asker(counts).answer(looks)]
+    rows = [(ko, f, label, t.grow_p, t.grow_n, round(gain, 6)) for ko, (f, label, gain, t) in zip(kos, best, strict=True)]
     return spark.createDataFrame(rows, f"{KO_KEY} string, feature string, label string, p long, n long, gain double")
 
 
-SMALL_MODEL = {"IREP": (3, 1), "RIPPER": (3, 2)}  # rules, conditions per rule
-
-
 def learned(spark, folder, algorithm):
-    split = splits.temporal_holdout(order_cases(spark, folder))
-    most, conditions = SMALL_MODEL[algorithm]
-    settings = learn.LearnSettings(max_rules=most, max_rule_conds=conditions, k=1)
-    found = learn.learn_rules(split.filter(~F.col("is_test")), sorted(FIXED_RULES), FEATURES, algorithm, settings)
-    return split, found
+    """Rules of all checks with the configuration's own settings: no limit on rules or conditions."""
+    split = write_table(splits.temporal_holdout(order_cases(spark, folder)))
+    return split, learn.learn_rules(split.filter(~F.col("is_test")), sorted(FIXED_RULES), FEATURES, algorithm)
 
 
 @register("j5_irep_rules")
@@ -496,25 +497,31 @@ def j10(spark, folder):
     return rules.holdout_quality(split.filter("is_test"), found)
 
 
+def holdout(spark, folder):
+    split = write_table(splits.temporal_holdout(order_cases(spark, folder)))
+    return split.filter(~F.col("is_test")), split.filter("is_test")
+
+
 @register("j7_surrogate_rules")
 def j7(spark, folder):
-    split = splits.temporal_holdout(order_cases(spark, folder))
-    found, _ = learn.surrogate_rules(
-        split.filter(~F.col("is_test")),
-        ["Check Balance"],
-        FEATURES,
-        learn.LearnSettings(max_rules=2, max_rule_conds=1, k=1),
-    )
-    return rules.rules_table(spark, found)
+    train, _ = holdout(spark, folder)
+    return rules.rules_table(spark, learn.surrogate_rules(train, sorted(FIXED_RULES), FEATURES)[0])
+
+
+@register("j7_teacher_areas")
+def j7_areas(spark, folder):
+    train, test = holdout(spark, folder)
+    teachers = {ko: learn.fit_teacher(train, ko, FEATURES, test=test) for ko in sorted(FIXED_RULES)}
+    rows = [(ko, one.auc, max(one.importances, key=one.importances.get)) for ko, one in teachers.items()]
+    return spark.createDataFrame(rows, f"{KO_KEY} string, auc double, first_attribute string")
 
 
 @register("j8_grid_search")
 def j8(spark, folder):
+    """The default grid of IREP: every check, fold and setting."""
     from casegate.operators.tuning import grid_scores
 
-    grid = {"n_discretize_bins": [10, 20]}
-    settings = learn.LearnSettings(max_rules=1, max_rule_conds=1)
-    return grid_scores(order_cases(spark, folder), sorted(FIXED_RULES), FEATURES, "IREP", grid, settings)
+    return grid_scores(order_cases(spark, folder), sorted(FIXED_RULES), FEATURES, "IREP")
 
 
 # --- variant comparison -------------------------------------------------------------------------

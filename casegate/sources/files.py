@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Mapping
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ XES_ACTIVITY = "concept:name"
 XES_RESOURCE = "org:resource"
 XES_TRANSITION = "lifecycle:transition"
 XES_TIME = "time:timestamp"
+SIMULATOR = "com.qbpsimulator"
 
 
 def extension(path: str) -> str:
@@ -72,17 +75,57 @@ def pairs(prefix: str = "") -> Column:
     return F.concat(*parts)
 
 
-def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event: case, place in the trace and a column per attribute key.
-
-    Attribute types come from the XML tags.  The keys are found with one distinct
-    over the parsed traces; they are a schema, so they go to the driver.
-    """
+def xes_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per event of XES files: case, place in the trace and its attributes as pairs."""
+    if extension(path) == ".zip":
+        return zipped_xes_rows(spark, path)
     traces = utc(spark).read.format("xml").option("rowTag", "trace").schema(trace_schema()).load(path)
     name = F.element_at(F.filter(F.col("string"), lambda p: p["_key"] == XES_CASE), 1)["_value"]
-    events = traces.select(name.alias(CASE), F.posexplode("event").alias("place", "e")).select(
+    return traces.select(name.alias(CASE), F.posexplode("event").alias("place", "e")).select(
         CASE, "place", pairs("e.").alias("pairs")
     )
+
+
+def zipped_xes_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The same for XES files in zip archives, one task per archive, a trace at a time."""
+
+    def attributes(element) -> list[dict]:
+        found = []
+        for child in element:
+            tag = child.tag.rpartition("}")[2]
+            if tag in XES_TYPES:
+                found.append({"k": child.get("key"), "v": child.get("value"), "tag": tag})
+        return found
+
+    def parse(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(archive.namelist()):
+                        if not name.lower().endswith(".xes"):
+                            continue
+                        with archive.open(name) as member:
+                            for _, element in ElementTree.iterparse(member):
+                                if element.tag.rpartition("}")[2] != "trace":
+                                    continue
+                                case = next((a["v"] for a in attributes(element) if a["k"] == XES_CASE and a["tag"] == "string"), None)
+                                events = [e for e in element if e.tag.rpartition("}")[2] == "event"]
+                                yield pd.DataFrame({CASE: case, "place": range(len(events)), "pairs": [attributes(e) for e in events]})
+                                element.clear()
+
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    return archives.mapInPandas(parse, f"{CASE} string, place int, pairs array<struct<k:string,v:string,tag:string>>")
+
+
+def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
+    """One row per event: case, place in the trace and a column per attribute key.
+
+    Attribute types come from the XML tags; a value that is not of its type raises.  The keys are
+    found with one distinct over the parsed traces; they are a schema, so they go to the driver.
+    """
+    events = xes_rows(spark, path)
     keys = (
         events.select(F.explode("pairs").alias("p")).select("p.k", "p.tag").distinct().orderBy("k", "tag").collect()
     )
@@ -94,21 +137,28 @@ def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
             k, F.element_at(F.filter("pairs", lambda p: p["k"] == k), -1)["v"]
         ))
     )
-    columns = [F.col("m")[key].try_cast(XES_TYPES[tag]).alias(key) for key, tag in types.items()]
+    columns = [F.col("m")[key].cast(XES_TYPES[tag]).alias(key) for key, tag in types.items()]
     return events.select(CASE, "place", values.alias("m")).select(CASE, "place", *columns)
 
 
+def from_simulator(spark: SparkSession, path: str) -> bool:
+    """Whether the log names the simulator as its source; asked only of logs with element ids."""
+    if extension(path) == ".zip":
+        return False
+    return not spark.read.text(path).filter(F.col("value").contains(SIMULATOR)).isEmpty()
+
+
 def zone_free(text: Column) -> Column:
-    """The wall-clock time written in a timestamp text; its zone is left out."""
+    """The wall-clock time written in a timestamp text; its zone is left out.  Other texts raise."""
     local = F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.replace(local, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    return F.replace(local, F.lit("T"), F.lit(" ")).cast("timestamp_ntz")
 
 
 def read_xes(
-    spark: SparkSession, path: str, names: Mapping[str, str] | None = None, simulator_export: bool = False
+    spark: SparkSession, path: str, names: Mapping[str, str] | None = None, simulator_export: bool | None = None
 ) -> DataFrame:
     """XES to interval events: lifecycle rows are paired, keys renamed, boundary rows
-    of the tool removed, copies dropped."""
+    of the tool removed, copies dropped.  Exports of the simulator are told by their source."""
     rows = read_xes_events(spark, path)
     keys = {XES_ACTIVITY: ACTIVITY, XES_RESOURCE: RESOURCE, XES_TRANSITION: "transition", XES_TIME: "ts"}
     found = rows.withColumnsRenamed({k: v for k, v in keys.items() if k in rows.columns})
@@ -121,56 +171,55 @@ def read_xes(
     else:
         paired = found.withColumns({END_TS: F.col("ts"), START_TS: F.col("ts")}).drop("ts")
     cleaned = drop_native_boundaries(rename(paired, names or {}))
-    if simulator_export and "elementId" in cleaned.columns:
-        cleaned = keep_tasks(cleaned)
+    if "elementId" in cleaned.columns:
+        if from_simulator(spark, path) if simulator_export is None else simulator_export:
+            cleaned = keep_tasks(cleaned)
     return canonical(deduplicate(cleaned))
 
 
-def unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of the files in zip archives, one task per archive."""
+def zipped_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the CSV files in zip archives as maps from column to text, one task per archive; each
+    file has its own header."""
 
-    def open_all(batches):
+    def parse(batches):
         import pandas as pd
 
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for name in sorted(archive.namelist()):
+                        if not name.lower().endswith(".csv"):
+                            continue
                         with archive.open(name) as member:
-                            lines = io.TextIOWrapper(member, encoding="utf-8", newline="")
-                            chunk: list[str] = []
-                            for line in lines:
-                                chunk.append(line.rstrip("\r\n"))
-                                if len(chunk) == 10_000:
-                                    yield pd.DataFrame({"file": name, "value": chunk})
-                                    chunk = []
-                            if chunk:
-                                yield pd.DataFrame({"file": name, "value": chunk})
+                            rows = (r for r in csv.reader(io.TextIOWrapper(member, encoding="utf-8-sig", newline="")) if r)
+                            header = next(rows, None)
+                            while header and (some := list(itertools.islice(rows, 10_000))):
+                                maps = [[(k, v or None) for k, v in zip(header, r)] for r in some]
+                                yield pd.DataFrame({"header": [header] * len(some), "r": [dict(m) for m in maps]})
 
     archives = spark.read.format("binaryFile").load(path).select("content")
-    return archives.mapInPandas(open_all, "file string, value string")
+    return archives.mapInPandas(parse, "header array<string>, r map<string,string>")
+
 
+def read_csv_rows(spark: SparkSession, path: str, split_lines: bool = False) -> DataFrame:
+    """CSV rows as text columns; ``.gz`` by extension, ``.zip`` unpacked in tasks.
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows as text columns; ``.gz`` by extension, ``.zip`` unpacked in tasks."""
+    Quoted fields may hold line breaks, so a file is read by one task unless ``split_lines`` says that
+    each row is one line.
+    """
     if extension(path) != ".zip":
-        return spark.read.option("header", True).option("escape", '"').csv(path)
-    lines = unzipped(spark, path).filter(F.lower("file").endswith(".csv"))
-    head = lines.filter(F.col("value") != "").first()["value"]
-    columns = next(csv.reader([head]))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return (
-        lines.filter((F.col("value") != head) & (F.col("value") != ""))
-        .select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("r"))
-        .select("r.*")
-    )
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", not split_lines).csv(path)
+    rows = zipped_csv_rows(spark, path)
+    headers = rows.select("header").distinct().collect()  # one row a kind of file
+    columns = list(dict.fromkeys(c for r in sorted(headers, key=lambda r: r["header"]) for c in r["header"]))
+    return rows.select(*[F.col("r")[c].alias(c) for c in columns])
 
 
 def read_csv(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
     """CSV to the canonical log.  ``column_names`` maps source to key columns; a log
     with one timestamp has only the completion time."""
     names = {**DEFAULT_NAMES, **dict(options.column_names or {})}
-    rows = rename(read_csv_rows(utc(spark), path), names)
+    rows = rename(read_csv_rows(utc(spark), path, options.split_lines), names)
     times = [END_TS] if options.one_timestamp else [START_TS, END_TS]
     if RESOURCE not in rows.columns:
         rows = rows.withColumn(RESOURCE, F.lit(None).cast("string"))
@@ -179,11 +228,26 @@ def read_csv(spark: SparkSession, path: str, options: ReadOptions = ReadOptions(
     return drop_attributes(log) if options.filter_d_attrib else log
 
 
+def holds_xes(spark: SparkSession, path: str) -> bool:
+    """Whether zip archives hold XES files."""
+
+    def look(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    yield pd.DataFrame({"xes": [any(n.lower().endswith(".xes") for n in archive.namelist())]})
+
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    return not archives.mapInPandas(look, "xes boolean").filter("xes").isEmpty()
+
+
 def read_log(spark: SparkSession, config: AnalysisConfig) -> DataFrame:
     """The log a configuration names, with boundary events."""
     path, options = config.log_path, config.read_options
     kind = extension(path)
-    if kind == ".xes":
+    if kind == ".xes" or (kind == ".zip" and holds_xes(spark, path)):
         log = read_xes(spark, path, options.column_names)
         log = drop_attributes(log) if options.filter_d_attrib else log
     else:

@@ -95,30 +95,41 @@ def test_running_totals_and_index(spark):
     assert sorted(tuple(r) for r in ranked) == [(i, i) for i in range(101)]
 
 
-def walk(variants, limit):
-    """The definition, one variant after the other."""
-    found = {}
-    for i, p in enumerate(variants):
-        count = {}
-        for j, q in enumerate(variants):
-            for t in zip(p, p[1:]):
-                if t not in set(zip(q, q[1:])):
-                    count[t] = count.get(t, 0) + 1
-        if count:
-            a, b = max(count, key=count.get)
-            found.setdefault(a, (b, p[-2], len(p)))
-            if b not in found:
-                at = p.index(b)
-                if at == len(p) - 2:
-                    continue
-                found[b] = (p[at + 1] if at + 1 < len(p) else p[-2], p[-2], len(p))
-        if len(found) >= limit:
+def mentions_in_order(variants):
+    """Per variant its differentiating transition, as sets and ranks: the one that most other variants
+    lack, then the one first lacked, then the one first in the variant."""
+    steps = [[(v[i], v[i + 1]) for i in range(len(v) - 1)] for v in variants]
+    lacking = {t: [j for j, other in enumerate(steps) if t not in other] for own in steps for t in own}
+    for v, own in zip(variants, steps, strict=True):
+        ranked = sorted((-len(lacking[t]), lacking[t][0], own.index(t), t) for t in own if lacking[t])
+        yield v, (ranked[0][3] if ranked else None)
+
+
+def expected_candidates(variants, limit):
+    """First mentions: an activity that starts a differentiating transition is followed by its end; one
+    that ends it, by what comes next in the variant, but it counts only before the last but one place.
+    Variants stop counting once ``limit`` activities are known, except just after a refusal."""
+    table, refused = [], False
+    for v, step in mentions_in_order(variants):
+        if len({name for name, *_ in table}) >= limit and not refused and table:
             break
-    return found
+        refused = False
+        if step is None:
+            continue
+        first, second = step
+        known = {name for name, *_ in table}
+        table.append((first, second, v[-2], len(v)))
+        if second in known | {first}:
+            continue
+        after = v[v.index(second) + 1 :]
+        refused = len(after) == 1
+        if not refused:
+            table.append((second, after[0] if after else v[-2], v[-2], len(v)))
+    return {name: tuple(rest) for name, *rest in reversed(table)}
 
 
 @pytest.mark.parametrize("seed, limit", [(1, 3), (2, 2), (3, 9)])
-def test_candidates_against_the_walk(spark, seed, limit):
+def test_candidates_are_first_mentions(spark, seed, limit):
     cases = random_cases(seed)
     steps = placed_steps(sequences(spark, cases))
     table = sorted_variants(steps)
@@ -129,7 +140,7 @@ def test_candidates_against_the_walk(spark, seed, limit):
     kept = variant_steps(steps, table).checkpoint()
     best = differentiating_transitions(kept, table)
     found = candidate_sequences(kept, table, best, limit).collect()
-    assert {r["candidate"]: (r["followed_by"], r["outcome"], r["variant_len"]) for r in found} == walk(variants, limit)
+    assert {r["candidate"]: (r["followed_by"], r["outcome"], r["variant_len"]) for r in found} == expected_candidates(variants, limit)
 
 
 def test_variants_do_not_depend_on_row_order(spark):
