@@ -40,12 +40,14 @@ TOXIC_EXAMPLES, CLEAN_EXAMPLES = 6_000, 12_000
 MOST_TERMS = 4_096
 LEAST_LOG_ODDS, LEAST_G = 2.0, 20.0
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 256
 THRESHOLD = 0.3
 _STARTS = (4, 5, 6)
 _LONGEST_WORD = 32
 #: Terms that a task counts before it passes them on.
 _TERMS_HELD = 150_000
+#: Words whose terms a worker keeps: some 20 MB.
+_WORDS_KEPT = 150_000
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -53,19 +55,36 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word[:_LONGEST_WORD], *(word[:n] + b"*" for n in _STARTS if len(word) >= n)]
 
 
+class _Numbers(dict):
+    """Numbers of the chosen terms of a word; words seen are kept, up to a bound."""
+
+    def __init__(self, number: dict[bytes, int]):
+        self._number = number
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = tuple(i for t in terms_of(word) if (i := self._number.get(t)) is not None)
+        if len(self) < _WORDS_KEPT:
+            self[word] = found
+        return found
+
+
 class Terms:
     """The chosen terms by number; ``counts`` finds them in a text."""
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.starts = {t.rstrip(b"*")[: _STARTS[0]] for t in terms}
+        self._of = _Numbers(self.number)
+
+    def __reduce__(self):
+        return Terms, (list(self.number),)
 
     def counts(self, text: bytes) -> dict[int, int]:
-        starts, found = self.starts, Counter()
-        for word in [w for w in words_of(text) if w[:4] in starts]:
-            for term in terms_of(word):
-                if (i := self.number.get(term)) is not None:
-                    found[i] += 1
+        starts = self.starts
+        known = map(self._of.__getitem__, [w for w in words_of(text) if w[:4] in starts])
+        found: Counter = Counter()
+        for numbers in filter(None, known):
+            found.update(numbers)
         return found
 
 
