@@ -213,34 +213,40 @@ def similar_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, tile: int = TILE) -> DataFrame:
-    """``id, class_id`` per row: the least id of the rows linked to it, where texts of at least that
-    Jaccard similarity which share a band are linked.
+def band_keys(text: bytes) -> tuple[int, list[int]]:
+    """A signed hash of the set of shingles, and a key of each band."""
+    shingles = np.unique(shingle_hashes(word_hashes(text.lower().split())))
+    bands = signature(shingles)[: BANDS * BAND].reshape(BANDS, BAND)
+    keys = [xxhash.xxh64_intdigest(b.tobytes(), at) - (1 << 63) for at, b in enumerate(bands)]
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7) - (1 << 63), keys
 
-    Copies are one node.  Texts of one band bucket are dealt to tiles of bounded size; each pair of
-    tiles of a bucket is verified in a task of its own and reports a spanning forest of its links."""
-    source = id_and_text(docs, id_col, text_col)
-    kind = source.schema["id"].dataType.simpleString()
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verified_links(signed: DataFrame, source: DataFrame, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """``a, b``: links between nodes (sets of shingles) of at least that Jaccard similarity which share a
+    band, as a forest.  ``signed``: ``node, keys, text_key`` of each row, written; ``source``: ``text``.
+
+    Texts of one band bucket are dealt to tiles of bounded size; each pair of tiles of a bucket is
+    verified in a task of its own and reports a spanning forest of its links.  Shingles are made again
+    for the texts of crowded buckets alone, one text a node: ``text_key`` (a hash of the text) finds them.
+    """
+    nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("text_key").alias("text_key"))
+    buckets = write_table(nodes.select("node", "text_key", F.explode("keys").alias("bucket")))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    placed = write_table(
+        buckets.join(crowded, "bucket").select("node", "text_key", "bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"))
+    )
+    wanted = placed.select("text_key").distinct()
+    crowd = source.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key", "left_semi").select("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
             sets = [np.unique(shingle_hashes(word_hashes(t.lower().split()))) for t in texts(batch["text"])]
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in sets]
-            bands = [signature(s)[: BANDS * BAND].reshape(BANDS, BAND) for s in sets]
-            keys = [[xxhash.xxh64_intdigest(b.tobytes(), at) - (1 << 63) for at, b in enumerate(own)] for own in bands]
-            yield pa.record_batch(
-                [batch["id"], pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "node", "shingles", "keys"],
-            )
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    signed = source.mapInArrow(sign, f"id {kind}, node long, shingles array<bigint>, keys array<bigint>")
-    signed = write_table(signed)
-    nodes = signed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
-    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    placed = buckets.join(crowded, "bucket").select("node", "bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"))
+    shingled = crowd.mapInArrow(cut, "node long, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     tiles = write_table(
-        placed.join(nodes.select("node", "shingles"), "node")
+        placed.select("node", "bucket", "part").join(shingled, "node")
         .groupBy("bucket", "part").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("texts"))
     )
     other = tiles.select("bucket", F.col("part").alias("other"), F.col("texts").alias("others"))
@@ -258,7 +264,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 links += similar_links(*sides, least, batch["same"][row].as_py())
             yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    roots = classes(work.mapInArrow(verify, "a long, b long"))
+    return work.mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """``id, class_id`` per row: the least id of the rows linked to it, where texts of at least that
+    Jaccard similarity which share a band are linked.  Copies are one node."""
+    source = id_and_text(docs, id_col, text_col)
+    kind = source.schema["id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text"):
+            signs = [band_keys(t) for t in texts(batch["text"])]
+            yield pa.record_batch(
+                [batch["id"], pa.array([n for n, _ in signs], pa.int64()), pa.array([k for _, k in signs], pa.list_(pa.int64())), batch["text_key"]],
+                names=["id", "node", "keys", "text_key"],
+            )
+
+    keyed = source.withColumn("text_key", F.xxhash64("text"))
+    signed = write_table(keyed.mapInArrow(sign, f"id {kind}, node long, keys array<bigint>, text_key long"))
+    roots = classes(verified_links(signed, source.select("text"), least, tile))
     rooted = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     return rooted.join(ids, "root").select("id", "class_id")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegate.lineage import write_table
+from casegate.llm import fingerprints as fingerprints_of
 from casegate.llm.common import classes, id_and_text, parts, texts
 
 SHINGLE = 4
@@ -162,11 +163,13 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return work.mapInArrow(compare, "a long, b long")
 
 
-def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, more: DataFrame | None = None) -> DataFrame:
     """``fp, root, component_id`` for each distinct fingerprint of ``prints`` (``id, fp``; written or
-    cheap to read again): its class, and the least id of all rows whose fingerprints it reaches."""
+    cheap to read again): its class, and the least id of all rows whose fingerprints it reaches.
+    ``more``: further links ``a, b`` between fingerprints."""
     distinct = write_table(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = classes(links(distinct.select("fp"), radius, tile))
+    near = links(distinct.select("fp"), radius, tile)
+    roots = classes(near if more is None else near.unionByName(more))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root")
     )
@@ -186,14 +189,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float | None = fingerprints_of.SIMILAR
+) -> DataFrame:
     """``docs`` with one row of each component: of its least id, then of the least text digest, then
-    of the least other columns.  Rows that repeat an id and a text count as one."""
+    of the least other columns.  Rows that repeat an id and a text count as one.
+
+    Four bits of 64 say that texts are alike, but most texts that share four fifths of their shingles
+    differ in more.  With ``least``, texts of at least that Jaccard similarity (shingles of five words,
+    candidates by signature bands, verified) are linked beside those within the radius.
+    """
     columns = docs.columns
     digest = F.xxhash64(F.coalesce(F.sha2(docs[text_col].cast("binary"), 256), F.lit("")))
-    rows = fingerprints(docs.select(F.struct(id_col, digest.alias("digest")).alias("key"), docs[text_col].alias("text")), "key")
-    rows = write_table(rows.select(F.col("id.*"), "fp").toDF("id", "digest", "fp"))
-    found = rows.join(components(rows.select("id", "fp"), radius), "fp")
+    source = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("key"), docs[text_col].cast("string").alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text"):
+            signs = [fingerprints_of.band_keys(t) if least is not None else (0, []) for t in texts(batch["text"])]
+            yield pa.record_batch(
+                [batch["key"], fingerprint_column(batch["text"]), pa.array([n for n, _ in signs], pa.int64()), pa.array([k for _, k in signs], pa.list_(pa.int64())), batch["text_key"]],
+                names=["key", "fp", "node", "keys", "text_key"],
+            )
+
+    keyed = source.withColumn("text_key", F.xxhash64("text"))
+    rows = write_table(keyed.mapInArrow(sign, f"key {kind}, fp long, node long, keys array<bigint>, text_key long"))
+    more = None
+    if least is not None:
+        alike = classes(fingerprints_of.verified_links(rows.select("node", "keys", "text_key"), source.select("text"), least))
+        found = write_table(rows.select("fp", "node").distinct().join(alike, "node").select("fp", "root").distinct())
+        hub = found.groupBy("root").agg(F.min("fp").alias("b"))
+        more = found.join(hub, "root").select(F.col("fp").alias("a"), "b")
+    rows = rows.select(F.col("key.id").alias("id"), F.col("key.digest").alias("digest"), "fp")
+    found = rows.join(components(rows.select("id", "fp"), radius, more=more), "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
     keep = found.groupBy("root").agg(first)
     keep = keep.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"))

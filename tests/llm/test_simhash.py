@@ -61,16 +61,39 @@ def test_edge_cases(spark):
 
 
 def test_one_of_each_keeps_the_least(spark):
-    docs = clashing(documents(spark, edge_rows()), "fp", "root", "id")
-    kept = simhash.one_of_each(docs)
+    docs = clashing(documents(spark, edge_rows()), "fp", "root", "id", "key", "node")
+    kept = simhash.one_of_each(docs, least=None)
     assert kept.columns == docs.columns
     prints = [plain_fingerprint(r.text) for r in kept.collect()]
     assert all((a ^ b).bit_count() > 4 for i, a in enumerate(prints) for b in prints[:i])
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 8, 10, 11, 12] and ids.count(None) == 1
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
     assert simhash.one_of_each(documents(spark, [])).count() == 0
 
 
+def shared(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_beyond_the_radius_go_too(spark):
+    rng = random.Random(12)
+    rows = []
+    for base in range(5):
+        words = [f"w{base}x{rng.randrange(900)}" for _ in range(200)]
+        rows.append((base * 10, " ".join(words)))
+        for copy in range(1, 5):
+            changed = list(words)
+            for at in rng.sample(range(200), 2):
+                changed[at] = f"other{rng.randrange(10**6)}"
+            rows.append((base * 10 + copy, " ".join(changed)))
+    far = [(100 + i, " ".join(rng.choices(rows[i * 5][1].split(), k=200))) for i in range(5)]
+    assert min(shared(rows[b * 5][1], rows[b * 5 + c][1]) for b in range(5) for c in range(1, 5)) >= 0.8
+    kept = simhash.one_of_each(documents(spark, rows + far))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 100, 101, 102, 103, 104]
+
+
 @pytest.mark.parametrize("tile", [3, 1 << 16])
 def test_large_group_of_near_copies_in_small_tiles(spark, tile):
     rng = np.random.default_rng(1)
