@@ -35,6 +35,8 @@ SIMILAR = 0.8
 BANDS, BAND = 25, 5
 #: Texts of a tile of one bucket; a pair of tiles is what a task holds.
 TILE = 512
+#: Bits of the map that finds the texts of crowded buckets.
+_BITS = 1 << 26
 _SEED = 20_240_229
 _MIX = np.uint32(0x9E3779B1)
 _EMPTY = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
@@ -225,46 +227,65 @@ def verified_links(signed: DataFrame, source: DataFrame, least: float = SIMILAR,
     """``a, b``: links between nodes (sets of shingles) of at least that Jaccard similarity which share a
     band, as a forest.  ``signed``: ``node, keys, text_key`` of each row, written; ``source``: ``text``.
 
-    Texts of one band bucket are dealt to tiles of bounded size; each pair of tiles of a bucket is
-    verified in a task of its own and reports a spanning forest of its links.  Shingles are made again
-    for the texts of crowded buckets alone, one text a node: ``text_key`` (a hash of the text) finds them.
+    Buckets of the same members are verified once.  The texts of a bucket are dealt to tiles of bounded
+    size; each tile, and each pair of tiles of a bucket, is verified in a task and reports a spanning
+    forest of its links.  Shingles are made again for the texts of crowded buckets alone: a bitmap of
+    fixed size over their keys passes them, and a few more that the join on nodes leaves out.
     """
-    nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("text_key").alias("text_key"))
-    buckets = write_table(nodes.select("node", "text_key", F.explode("keys").alias("bucket")))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    nodes = write_table(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("text_key").alias("text_key")))
+    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    crowded = (
+        buckets.groupBy("bucket").agg(F.count("*").alias("n"), members).where("n > 1")
+        .groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
+    )
     placed = write_table(
-        buckets.join(crowded, "bucket").select("node", "text_key", "bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"))
+        buckets.join(crowded, "bucket").select("node", "bucket", F.ceil(F.col("n") / tile).alias("parts"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"))
     )
-    wanted = placed.select("text_key").distinct()
-    crowd = source.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key", "left_semi").select("text")
+    wanted = nodes.join(placed.select("node").distinct(), "node").select(F.pmod("text_key", F.lit(_BITS)).alias("bit"))
+    bitmaps = wanted.groupBy(F.expr("bit div 32768").alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    bitmap = np.zeros(_BITS // 8, np.uint8)
+    for row in bitmaps.toLocalIterator():  # 8 MB at most
+        bitmap[row["at"] * 4096 : (row["at"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8)
         for batch in parts(batches, "text"):
+            bits = batch["bit"].to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((held[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)))
             sets = [np.unique(shingle_hashes(word_hashes(t.lower().split()))) for t in texts(batch["text"])]
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in sets]
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    shingled = crowd.mapInArrow(cut, "node long, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    read = source.select("text", F.pmod(F.xxhash64("text"), F.lit(_BITS)).alias("bit"))
+    shingled = read.mapInArrow(cut, "node long, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     tiles = write_table(
-        placed.select("node", "bucket", "part").join(shingled, "node")
-        .groupBy("bucket", "part").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("texts"))
+        placed.join(shingled, "node")
+        .groupBy("bucket", "part", "parts").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("texts"))
     )
-    other = tiles.select("bucket", F.col("part").alias("other"), F.col("texts").alias("others"))
-    work = tiles.join(other, "bucket").where("part <= other").select((F.col("part") == F.col("other")).alias("same"), "texts", "others")
+    several = tiles.where("parts > 1")
+    other = several.select("bucket", F.col("part").alias("other"), F.col("texts").alias("others"))
+    pairs = several.join(other, "bucket").where("part < other").select("texts", "others")
+
+    def sides(batch: pa.RecordBatch, row: int) -> list[list[tuple[int, np.ndarray]]]:
+        found = []
+        for column in batch.schema.names:
+            members = batch[column][row].values
+            sets = members.field(1)
+            found.append([(n, np.asarray(sets[i].values)) for i, n in enumerate(members.field(0).to_pylist())])
+        return found
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for row in range(batch.num_rows):
-                sides = []
-                for column in ("texts", "others"):
-                    members = batch[column][row].values
-                    sets = members.field(1)
-                    sides.append([(n, np.asarray(sets[i].values)) for i, n in enumerate(members.field(0).to_pylist())])
-                links += similar_links(*sides, least, batch["same"][row].as_py())
+                own = sides(batch, row)
+                links += similar_links(own[0], own[-1], least, len(own) == 1)
             yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return work.mapInArrow(verify, "a long, b long")
+    inside = tiles.select("texts").mapInArrow(verify, "a long, b long")
+    return inside.unionByName(pairs.mapInArrow(verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, tile: int = TILE) -> DataFrame:
