@@ -187,31 +187,48 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sorted arrays of distinct shingles; two empty sets are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
-    return both / either if either else 1.0
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of each pair of sets: shingles that both sides have, as columns of two incidence
+    matrices, multiplied block by block."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate([*side, np.zeros(0, np.int64)]).astype(np.int64) for side in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    if left is right:  # a shingle of one set alone adds to its own size only
+        values, times = np.unique(flat[0], return_counts=True)
+        common = values[times > 1]
+    for begin in range(0, len(common), 4096):
+        some = common[begin : begin + 4096]
+        sides = []
+        for row, values, side in zip(rows, flat, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            held = some[at] == values
+            matrix = np.zeros((len(side), len(some)), np.float32)
+            matrix[row[held], at[held]] = 1
+            sides.append(matrix)
+        counts += sides[0] @ sides[1].T
+    return counts
 
 
 def similar_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], least: float, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of at least that similarity: pairs that are connected already
-    are not verified again."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
+    """A spanning forest of the pairs of at least that Jaccard similarity; two empty sets are alike."""
+    sets = [s for _, s in left], [s for _, s in left if same] or [s for _, s in right]
+    both = overlaps(sets[0], sets[0] if same else sets[1])
+    sizes = [np.array([len(s) for s in side], np.float64) for side in sets]
+    either = sizes[0][:, None] + sizes[1][None, :] - both
+    alike = both >= least * either - 1e-9
+    offset = 0 if same else len(left)
+    label = np.arange(offset + len(right))
     links = []
-    for i, (a, own) in enumerate(left):
-        for b, other in right[i + 1 :] if same else right:
-            x, y = find(a), find(b)
-            few, many = sorted((len(own), len(other)))
-            if x != y and few >= least * many and jaccard(own, other) >= least:
-                parent[max(x, y)] = min(x, y)
-                links.append((a, b))
+    for i in range(len(left)):
+        others = np.flatnonzero(alike[i])
+        others = others[others > i] if same else others
+        new, where = np.unique(label[offset + others], return_index=True)
+        mine = label[i]
+        for root, j in zip(new.tolist(), where.tolist(), strict=True):
+            if root != mine:
+                label[label == root] = mine
+                links.append((left[i][0], right[int(others[j])][0]))
     return links
 
 
