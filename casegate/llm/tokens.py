@@ -2,8 +2,8 @@
 
 The pre-tokenizer's rule is applied here for texts whose characters lie below U+0250, where its
 letter, number and space classes can be written out; each distinct pre-token is encoded by the
-tokenizer and kept.  Other texts, and texts that contain an added token, are encoded by it as a
-whole.  Either way the ids are the tokenizer's own.
+tokenizer and kept.  Other texts are encoded by it as a whole.  Either way the ids are the
+tokenizer's own; the strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._kept = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
@@ -108,7 +108,7 @@ class Encoder:
         return len(self._kept[piece]) // 4
 
     def bytes_of(self, text: str) -> bytes:
-        pieces = None if any(t in text for t in self._added) else pre_tokens(text)
+        pieces = pre_tokens(text)
         if pieces is None:
             return self.whole(text)
         self._kept.age()
