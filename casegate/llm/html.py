@@ -54,9 +54,12 @@ CLOSED_BY = {  # a start tag ends open elements of these names, up to one of the
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 
+#: What may stand between a tag's name and its end.  Quotes hold a value together directly after ``=``
+#: alone; elsewhere they are characters like others, and ``>`` ends the tag.
+ATTRIBUTES = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*"""
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(>|\Z)",
     re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -48,6 +48,20 @@ def test_pages(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<div><p class=\"a\"\">{TEXT}</p><p class=b>end, of it</p></div>", f"{PLAIN} end, of it"),
+        (f"<div><p title=Don't>{TEXT}</p><p class='b'>end, of it</p></div>", f"{PLAIN} end, of it"),
+        (f"<div><p 'x>{TEXT}</p><p class=b>end, of it</p></div>", f"{PLAIN} end, of it"),
+        (f"<div><p =\"x>{TEXT}</p><p lang=a\"b=\"c>end, of it</p></div>", f"{PLAIN} end, of it"),
+        (f"<div><p title = 'a > \"b'id=c title=\"it's > x\"data-x=y/>{TEXT}</p><p lang=>end, of it</p></div>", f"{PLAIN} end, of it"),
+    ],
+)
+def test_quotes_hold_values_alone(page, expected):
+    assert main_text(page) == expected
+
+
 def test_very_long_and_deep_pages():
     assert main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert main_text("<p><b><i>" * 30_000 + "y") == "y"
