@@ -34,6 +34,7 @@ BLOCKS = frozenset(
 )
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary".split())
 LEFT_OUT = frozenset("nav footer aside form button select option label menu dialog head object canvas audio video".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ALWAYS_OUT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond cookie cookies "
@@ -81,6 +82,7 @@ class Page:
         self.pieces: list[tuple[int, str | None]] = []
         self._open = [0]
         self._blocks = [0]  # places in ``_open`` of the blocks
+        self._head = 0  # the place of an open head, or 0
         self._read(source)
         while self._open:
             self._pop()
@@ -88,6 +90,8 @@ class Page:
     def _pop(self) -> None:
         node = self._open.pop()
         self.last[node] = len(self.tags) - 1
+        if self._head == len(self._open):
+            self._head = 0
         if self._blocks and self._blocks[-1] == len(self._open):
             self._blocks.pop()
             self.pieces.append((node, None))
@@ -119,7 +123,14 @@ class Page:
             return True
         return bool(words & OFTEN_OUT) and not words & MAIN_WORDS and tag != "article"
 
+    def _end_head(self) -> None:
+        """What cannot stand in a head ends it: its end tag is optional."""
+        if self._head:
+            self._pop_to(self._head)
+
     def _start(self, tag: str, attributes: str) -> None:
+        if tag == "head" and self._head:
+            return
         if tag in ("html", "body") and len(self._open) > 1 and tag in (self.tags[n] for n in self._open[:2]):
             return
         if tag in BLOCKS or tag == "hr":
@@ -149,6 +160,8 @@ class Page:
         if tag in BLOCKS:
             self._blocks.append(len(self._open))
             self.pieces.append((node, None))
+        if tag == "head":
+            self._head = len(self._open)
         self._open.append(node)
 
     def _end(self, tag: str) -> None:
@@ -172,6 +185,8 @@ class Page:
             found = _TAG.search(source, at)
             text = source[at : found.start() if found else end]
             if text:
+                if self._head and text.strip(" \t\n\f\r"):
+                    self._end_head()
                 self.pieces.append((self._open[-1], html.unescape(text)))
             if not found:
                 return
@@ -180,6 +195,8 @@ class Page:
             if tag is None or not finished:
                 continue
             tag = tag.lower()
+            if not closing and tag not in IN_HEAD:
+                self._end_head()
             if closing:
                 self._end(tag)
             elif tag in RAW and not attributes.endswith("/"):

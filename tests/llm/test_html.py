@@ -62,6 +62,21 @@ def test_quotes_hold_values_alone(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<html><head><title>T</title><meta charset=utf-8><body><div><p>{TEXT}</p></div></body></html>", PLAIN),
+        (f"<head>\n<title>T</title>\n<!-- c -->\n<script src=x /><link href=y>\n<div><p>{TEXT}</p></div>", PLAIN),
+        (f"<!doctype html><html><head><title>T</title>\n<h1>One</h1><p>{TEXT}", f"One {PLAIN}"),
+        ("<head><title>T</title>one<b>two", "onetwo"), ("<head><head><title>T</title></head>one", "one"),
+        (f"<head><style>p {{}}</style><svg><p>no</p></svg><main><p>{TEXT}</p></main>", PLAIN),
+        ("<html><head><title>T</title></head><body>one</body></html>", "one"), ("<head> <title>T</title> </html>", ""),
+    ],
+)
+def test_heads_without_an_end_tag(page, expected):
+    assert main_text(page) == expected
+
+
 def test_very_long_and_deep_pages():
     assert main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert main_text("<p><b><i>" * 30_000 + "y") == "y"
