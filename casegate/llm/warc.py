@@ -26,10 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegate.llm.common import parts
+from casegate.llm.html import ATTRIBUTES
 
 VERSION = "WARC/1.1"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
-_LEFT_OUT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# A head ends where something follows that cannot stand in it: its end tag is optional.
+_HEAD = (
+    rf"head(?=[\s/>]){ATTRIBUTES}(?:>|\Z)(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    rf"|<(title|script|style|template|noscript|noframes)(?=[\s/>]){ATTRIBUTES}>(?:.*?</\1\s*>|.*?(?=</head\s*>))"
+    rf"|<(?:html|head|base|basefont|bgsound|link|meta)(?=[\s/>]){ATTRIBUTES}(?:>|\Z)"
+    r"|</(?!(?:body|html|br)[\s/>])[a-z][^>]*>)*"
+)
+_LEFT_OUT = re.compile(
+    rf"<(?:!--.*?(?:-->|\Z)|{_HEAD}|(script|style|template|noscript)\b.*?(?:</\2\s*>|\Z))", re.S | re.I
+)
 _BREAK = re.compile(
     r"\s*</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|t[drh]|title|ul)\b[^>]*>\s*",
     re.I,

@@ -74,6 +74,15 @@ def test_text_and_edge_cases(spark):
     assert warc.derivatives(responses.limit(0)).count() == 0
 
 
+def test_heads_end_at_what_cannot_stand_in_them():
+    head = "<html><head>\n<title>T</title><!-- </head> --><meta content='a > b'><script src=x>'<p>'</script>\n"
+    for page in ("<body class=a><p>b<p>c", "<p>b</p>c", "b<br>c", "</head><body>b<p>c", "<section>b</section><h1>c", "</head>b<p>c"):
+        assert warc.plain_text(head + page) == "b\nc", page
+    assert warc.plain_text(head) == warc.plain_text(head + "</head></html>") == ""
+    assert warc.plain_text("<head><title>T</head><body>b") == "b"
+    assert warc.plain_text("<header>a</header><p>b") == "a\nb"
+
+
 def test_files_hold_the_records(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     made = warc.derivatives(warc.responses_of(pages), "page_id")
