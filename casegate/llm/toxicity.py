@@ -5,7 +5,8 @@ beginnings of 4 to 6 bytes.  The model is fitted on a bounded sample of labelled
 ``clean`` examples, those with the least hashes of their ids.  From it come the terms that set the
 classes apart (log odds and G-test), the examples' vectors and the calibration; document frequencies
 count all documents.  A text's nearest examples vote, nearer ones more, with each class weighed back
-to its share of all labelled rows.  A third of the sample is set aside: it takes no part in choosing
+to its share of all labelled rows.  Other words than those terms do not count at all: the README has
+recall with and without this restriction.  A third of the sample is set aside: it takes no part in choosing
 terms or in voting, and a monotone fit over its votes turns votes into probabilities.  Texts without
 any of the terms get the toxic share of such rows set aside.
 
