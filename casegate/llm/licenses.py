@@ -6,6 +6,11 @@ identifier of the first known licence sentence they hold; the others of them are
 sequence of identifiers is matched against ordered licence rules: each rule that occurs names its
 licence and uses up its identifiers, so that a whole licence text goes before its parts.
 
+Sentences that are wrapped over several lines are therefore not known, nor is a tag with a space after
+``SPDX-License-Identifier:``; the SQL of the query says the same.  With ``wrapped`` lines are joined
+first: comment marks go, a sentence ends at blank lines, and at ``. ; : ! ?`` before white space, and a
+tag is a sentence with its value.
+
 Defined results: a null text is empty; null ids and repeated rows are each returned; an empty table
 gives no rows; only the named columns are read.
 """
@@ -13,6 +18,7 @@ gives no rows; only the named columns are read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # What licence sentences say once reduced (regular expressions over a-z, 0-9 and space),
 # in the order in which they are tried.
@@ -112,10 +118,26 @@ def _named(sentence: str, found: str) -> str:
     return f"case when not {found.format(f'concat({chr(39)} {chr(39)}, {sentence}, {chr(39)} {chr(39)})', SPEAKS)} then null {cases} else 'Unknown' end"
 
 
-def scan(docs: DataFrame, id_col: Column, text_col: Column) -> DataFrame:
+#: Comment marks at the begin and the end of a line, which are no part of its text.
+_MARKS_BEFORE = r"(?im)^[ \t]*(?:(?:/\*+|\*+(?!/)|//+|#+|;+|--+(?!>)|<!--+|%+|(?:rem|dnl)(?=[ \t]))[ \t]*)?"
+_MARKS_AFTER = r"(?m)[ \t]*(?:\*+/|--+>|\*+)?[ \t]*$"
+_TAGGED = r"(?im)^(.*license-identifier:)[ \t]*(.*)$"
+
+
+def unwrapped(text: Column) -> Column:
+    """A sentence a line: wrapped lines joined, comment marks removed, tags with their values."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, _MARKS_AFTER, ""), _MARKS_BEFORE, "")
+    text = F.regexp_replace(text, _TAGGED, "\n$1$2\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\r"), r"\n", " ")
+
+
+def scan(docs: DataFrame, id_col: Column, text_col: Column, wrapped: bool = False) -> DataFrame:
     """``id, sentence_ids, licenses, n_unknown``: identifiers in text order, licences in rule order
-    without repeats, both comma-joined, and the number of licence sentences that are not known."""
-    read = docs.select(id_col.alias("id"), text_col.cast("string").alias("text"))
+    without repeats, both comma-joined, and the number of licence sentences that are not known.
+    ``wrapped`` joins wrapped sentences first, which the query and its SQL do not."""
+    text = text_col.cast("string")
+    read = docs.select(id_col.alias("id"), (unwrapped(text) if wrapped else text).alias("text"))
     cut = "split(regexp_replace(text, '([.;:!?])[ \\\\t\\\\r\\\\n]+', '$1\\n'), '[\\\\r\\\\n]+')"
     reduced = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' '))"
     named = _named("s", "{0} rlike '{1}'")

@@ -39,6 +39,40 @@ def test_known_texts(spark):
     assert licenses.scan(docs.limit(0), docs["doc_id"], docs["text"]).count() == 0
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD_GRANT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the documentation.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+@pytest.mark.parametrize("mark", [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("<!--\n", "  ", "\n-->"), ("", ";; ", "")])
+def test_wrapped_headers(spark, mark):
+    begin, each, end = mark
+    cases = [(GPL, "GPLRef3", "GPL-3.0"), (BSD_GRANT, "BSDGrant,BSDSource,BSDBinary,BSDWarranty", "BSD-2-Clause"), (ISC, "ISCGrant", "ISC")]
+    cases += [("SPDX-License-Identifier: MIT", "SpdxMIT", "MIT"), ("Copyright 2020 X\nSPDX-License-Identifier: GPL-2.0-only\ncode", "Copyright,SpdxGPL2", "GPL-2.0")]
+    texts = [begin + "\n".join((each + line).rstrip() for line in text.split("\n")) + end for text, _, _ in cases]
+    rows = list(enumerate([*texts, *(t.replace("\n", "\r\n") for t in texts)]))
+    docs = documents(spark, [*rows, (None, None)])
+    got = {r.id: r for r in licenses.scan(docs, docs["doc_id"], docs["text"], wrapped=True).collect()}
+    assert (got[None].licenses, got[None].n_unknown) == ("", 0)
+    for i, _ in rows:
+        _, ids, wanted = cases[i % len(cases)]
+        assert ([x for x in got[i].sentence_ids.split(",") if x != "Unknown"], got[i].licenses) == (ids.split(","), wanted), rows[i]
+
+
 def test_query_matches_sql(spark):
     status, ours, theirs = compare(spark, database(SF), SF, op7_licenses, SQL["op7_licenses"])
     assert status == "ok", [x for x in ours[3] if x not in set(theirs[3])][:3]
