@@ -319,13 +319,15 @@ def decontaminate(
     length_col: str | None = None,
     least_share: float = LEAST_SHARE,
     drop_share: float = 0.5,
+    max_span: int | None = None,
     **options,
 ) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Length limit: a span is hit from the window's length on.  Coverage limits: a document of which
     ``least_share`` or more of the words are hit loses its hit spans, one of which ``drop_share`` or
-    more are hit goes as a whole.  All other documents stay as they are.
+    more are hit goes as a whole.  All other documents stay as they are, by the contamination rule;
+    with ``max_span`` they lose the hit spans of at least so many words.
     ``length_col`` names a column that holds the text's code points, which is kept right.
     """
     columns = docs.columns
@@ -339,9 +341,11 @@ def decontaminate(
         changed = {}
         for at, own in enumerate(spans):
             hit = sum(s["end"] - s["begin"] for s in own)
-            if not hit or hit < least_share * words[at]:
+            if hit < least_share * words[at]:
+                own = [s for s in own if max_span is not None and s["end"] - s["begin"] >= max_span]
+            if not hit or not own:
                 continue
-            if hit >= drop_share * words[at]:
+            if hit >= max(drop_share, least_share) * words[at]:
                 keep[at] = False
                 continue
             text = fields[place][at].as_py()

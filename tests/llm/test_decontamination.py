@@ -102,3 +102,14 @@ def test_passages_go_and_clean_documents_stay(spark):
     expected = {i: (t, None if t is None else len(t)) for i, t in rows if i != 3}
     expected[2] = (clean + "! And " + clean, len(clean) * 2 + 6)
     assert texts == expected
+
+
+def test_long_spans_go_in_any_document(spark):
+    item = " ".join(f"item{i}" for i in range(400))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = "long " * 10_000
+    rows = [(1, long + item + " end"), (2, long + " ".join(item.split()[:50]) + " end"), (3, long), (4, item)]
+    for limit, gone in ((None, ()), (400, (1,)), (401, ()), (50, (1, 2))):
+        kept = decontamination.decontaminate(documents(spark, rows), bench, length_col="n_chars", max_span=limit)
+        expected = {i: long + " end" if i in gone else t for i, t in rows if i != 4}
+        assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (t, len(t)) for i, t in expected.items()}
