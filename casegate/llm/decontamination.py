@@ -8,8 +8,10 @@ wherever it reaches a window, the window's words are hit and the items that hold
 Only stretches whose consecutive word triples all occur in items are streamed through the automaton
 (a window lies inside one such stretch); numpy finds them for a whole batch at once.
 
-Items are taken in blocks of bounded size, one automaton and one pass over the documents each, so
-neither the driver nor a task holds more than one block however large the benchmark is.
+Items are taken in blocks of bounded size, one automaton and one pass over the documents each.  A
+pass's result is written before the next block's pass, so that a task holds one automaton however large
+the benchmark is.  The driver reads the items and builds the automata, one after another: it holds one
+automaton and the words of two blocks (an item is never divided).
 
 Defined results: a null document or item text has no words; a null item id counts for hits but is
 not listed; repeated item ids count once; repeated document rows are each scanned; an empty
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegate.lineage import write_table
 from casegate.llm.common import parts, texts
 
 WINDOW = 13
@@ -282,6 +285,9 @@ def scan(
             if block is None and finish is not None:
                 return result.mapInArrow(_pass(shared, place, finish[0]), finish[1])
             result = result.mapInArrow(_pass(shared, place), f"row {row}, {RESULTS}")
+            if block is not None:  # or a task would run the passes of all blocks at the same time
+                result = write_table(result)
+                shared.unpersist()
         waiting = block
     return result
 

@@ -78,6 +78,16 @@ def test_random_cases(spark):
             assert digest_rows(decontamination.report(docs, bench, block_words=limit)) == plain(rows, items)
 
 
+def test_a_task_runs_one_pass(spark):
+    rows, items = case(0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontamination.BLOCK_WORDS, 40):
+        report = decontamination.report(documents(spark, rows), bench, block_words=limit)
+        kept = decontamination.decontaminate(documents(spark, rows), bench, block_words=limit)
+        for made in (report, kept):
+            assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_tables_and_long_texts(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame([(1, "w " * 13)], "item_id long, text string")
