@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, fingerprints, html, licenses, packing, pii, simhash, token_counts, toxicity, warc
+from casegate.llm import decontamination, exact, fingerprints, html, licenses, packing, periodic, pii, simhash, token_counts, toxicity, warc
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -91,6 +91,34 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = docs.select(docs["doc_id"], periodic.periodic_tail(docs["doc_id"], docs["text"]).alias("text"))
+    found = periodic.find(changed, changed["doc_id"], changed["text"])
+    # the greatest length; ties by the smallest start, then period
+    longest = F.expr(
+        """aggregate(runs, cast(null as struct<start: long, length: long, period: long>),
+                     (best, r) -> if(best is null or r.length > best.length, r, best))"""
+    )
+    return found.withColumn("longest", longest).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return exact.duplicates(docs, docs["doc_id"], docs["text"]).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -102,5 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
+    "op11_periodic": op11_periodic,
+    "op12_exact_dedup": op12_exact_dedup,
 }
-SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
+SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op12_exact_dedup": exact.oracle()}
