@@ -41,3 +41,18 @@ def write_table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/casegate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what ``write_table`` wrote for ``df``, once nothing reads it any more.  A frame that reads
+    anything else is left alone."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/casegate-"
+    paths = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    if len(paths) != 1:
+        return
+    (path,) = paths
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if target.getParent().toUri().getPath() == root.getParent().toUri().getPath() and target.getName().startswith(root.getName()):
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
