@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegate.llm import decontamination, exact, fingerprints, html, licenses, packing, periodic, pii, simhash, token_counts, toxicity, warc
+from casegate.llm import clusters, decontamination, exact, fingerprints, html, licenses, packing, periodic, pii, simhash, token_counts, toxicity, warc
 from casegate.llm.common import table
 from casegate.llm.tokens import default_vocabulary
 
@@ -119,6 +120,22 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = clusters.cluster(clusters.lattice(vectors, vectors["vec_id"], vectors["embedding"]))
+    spread = {r.cluster: r.inertia for r in found.members.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
+    digests = [hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in found.centroids.tolist()]
+    sums = F.array(*[F.lit(spread.get(c, 0)).cast("long") for c in range(len(digests))]).cast("array<long>")
+    return found.members.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        F.get(sums, "cluster").alias("cluster_inertia"),
+        F.lit(sum(spread.values())).cast("long").alias("inertia"),
+        F.get(F.array(*map(F.lit, digests)).cast("array<string>"), "cluster").alias("centroid_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -132,5 +149,6 @@ QUERIES: dict[str, Query] = {
     "op10_html": op10_html,
     "op11_periodic": op11_periodic,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_clusters": op13_clusters,
 }
-SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op12_exact_dedup": exact.oracle()}
+SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op12_exact_dedup": exact.oracle(), "op13_clusters": clusters.oracle()}
