@@ -55,7 +55,8 @@ def _fold(same: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy()
             first = np.flatnonzero(fresh)
             members = np.add.reduceat(table["members"].to_numpy(), first)
-            table = table.take(first).set_column(table.schema.get_field_index("members"), "members", pa.array(members))
+            field = table.schema.field("members")
+            table = table.take(first).set_column(table.schema.get_field_index("members"), field, pa.array(members))
             folded = table.combine_chunks().to_batches()[0]
             open_group = folded.slice(folded.num_rows - 1)
             if folded.num_rows > 1:

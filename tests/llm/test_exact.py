@@ -40,7 +40,10 @@ def test_lanes_and_rounds(spark, monkeypatch, lanes, fan):
     docs = [(i, f"text {rng.randrange(60)}" if i % 3 else "a very frequent text") for i in range(400)]
     monkeypatch.setattr(exact, "FAN", fan)
     df = documents(spark, docs).repartition(lanes)
+    # groups go on over Arrow batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     check([(*r[:4], r[4].hex()) for r in exact.duplicates(df, df["doc_id"], df["text"]).collect()], docs)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_edge_cases(spark):
