@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def names_of(df: DataFrame, column: str) -> list[str]:
     """Distinct non-null names of a column, sorted."""
     distinct = df.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    return sorted(r["name"] for r in distinct.toLocalIterator())
+    return sorted(r["name"] for r in distinct.collect())
 
 
 def keep_names(df: DataFrame, column: str, names: Iterable[str]) -> DataFrame:

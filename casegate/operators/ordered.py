@@ -1,13 +1,13 @@
 """Order-dependent building blocks that hold when one key owns most of the rows.
 
 * ``sequence``        position and next values inside a case
+* ``forward_fill``    last known values inside a case
 * ``running_totals``  running sums along a time line, per key or global
+* ``ordered_totals``  running sums along a global order
 * ``dense_index``     0-based global rank under a total order
 
-A plain window puts a whole key into one task.  Here a key with more than
-``HOT_ROWS`` rows is cut into time slices: each slice is windowed on its own and
-receives what it needs from its neighbours (first row of the next slice, totals
-of the earlier ones) through a summary with one row per slice.
+The first three are segmented scans (``scan.py``): a key that holds more rows than a task should is cut
+into pieces.
 """
 
 from __future__ import annotations
@@ -18,21 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegate.lineage import cut_lineage
-from casegate.schema import CASE, MICROS_PER_HOUR, micros
-
-HOT_ROWS = 1_000_000
-
-
-def flag_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_hot`` (true or null).  The broadcast list has at most
-    ``rows / hot_rows`` entries, since each entry stands for that many rows."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return df.join(F.broadcast(hot), list(keys), "left")
+from casegate.operators.scan import scan
+from casegate.schema import CASE
 
 
 def sequence(
@@ -41,118 +28,23 @@ def sequence(
     leads: Mapping[str, str] | None = None,
     position: str | None = None,
     key: str = CASE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add, per ``key`` in ``order`` (timestamp first), the next value of columns
-    (``leads``: new name -> source) and the 0-based ``position``."""
-    leads = dict(leads or {})
-    flagged = flag_hot(df, [key], hot_rows).withColumn(
-        "_slice", F.when(F.col("_hot"), F.floor(micros(order[0]) / F.lit(MICROS_PER_HOUR)))
-    )
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
-    body = flagged.withColumns(
-        {
-            **{new: F.lead(source).over(inside) for new, source in leads.items()},
-            "_last": F.lead(F.lit(True)).over(inside).isNull(),
-            "_row": F.row_number().over(inside).cast("long") - 1,
-        }
-    )
+    """Add, per ``key`` in ``order``, the next value of columns (``leads``: new name -> source) and the
+    0-based ``position``."""
+    return scan(df, [key], order, leads=leads or {}, position=position)
 
-    across = Window.partitionBy(key).orderBy("_slice")
-    firsts = F.struct(F.lit(0).alias("_pad"), *[F.col(s).alias(n) for n, s in leads.items()])
-    slices = (
-        flagged.filter(F.col("_hot"))
-        .groupBy(key, "_slice")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min_by(firsts, F.struct(*order)).alias("_first"),
-        )
-        .select(
-            key,
-            "_slice",
-            F.sum("_rows").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.lead("_first").over(across).alias("_next"),
-        )
-    )
-    joined = body.join(slices, [key, "_slice"], "left")
-    added = [
-        F.when(F.col("_last"), F.col(f"_next.{new}")).otherwise(F.col(new)).alias(new) for new in leads
-    ]
-    if position:
-        added.append((F.col("_row") + F.coalesce("_before", F.lit(0))).alias(position))
-    return joined.select(*df.columns, *added)
-
-
-def forward_fill(
-    df: DataFrame,
-    order: Sequence[str],
-    columns: Mapping[str, str],
-    key: str = CASE,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add, per ``key`` in ``order``, the last non-null value so far of columns
-    (new name -> source)."""
-    flagged = flag_hot(df, [key], hot_rows).withColumn(
-        "_slice", F.when(F.col("_hot"), F.floor(micros(order[0]) / F.lit(MICROS_PER_HOUR)))
-    )
-    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    body = flagged.withColumns(
-        {new: F.last(source, ignorenulls=True).over(inside) for new, source in columns.items()}
-    )
-    across = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*order)
-    slices = (
-        flagged.filter(F.col("_hot"))
-        .groupBy(key, "_slice")
-        .agg(
-            *[
-                F.max_by(source, F.when(F.col(source).isNotNull(), place)).alias(f"_last_{new}")
-                for new, source in columns.items()
-            ]
-        )
-        .select(
-            key,
-            "_slice",
-            *[F.last(f"_last_{new}", ignorenulls=True).over(across).alias(f"_from_{new}") for new in columns],
-        )
-    )
-    return body.join(slices, [key, "_slice"], "left").select(
-        *df.columns, *[F.coalesce(new, f"_from_{new}").alias(new) for new in columns]
-    )
 
+def forward_fill(df: DataFrame, order: Sequence[str], columns: Mapping[str, str], key: str = CASE) -> DataFrame:
+    """Add, per ``key`` in ``order``, the last non-null value so far of columns (new name -> source)."""
+    return scan(df, [key], order, lasts=columns)
 
-def running_totals(
-    points: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    values: Sequence[str],
-    slice_us: int = MICROS_PER_HOUR,
-) -> DataFrame:
-    """Replace each of ``values`` by its running total along ``time`` (microseconds)
-    per ``keys``.  ``points`` holds one row per key and time.
 
-    Each (key, slice) is its own window partition; the totals of earlier slices
-    come from a summary whose window sees one row per slice, not per point.
-    """
-    sliced = points.withColumn("_slice", F.floor(F.col(time) / F.lit(slice_us)))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
-        .select(
-            *keys,
-            "_slice",
-            *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_carry_{v}") for v in values],
-        )
-    )
-    inside = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(time)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = {v: F.sum(v).over(inside) for v in values}
-    joined = sliced.withColumns(totals).join(carried, [*keys, "_slice"])
-    return joined.withColumns({v: F.col(v) + F.col(f"_carry_{v}") for v in values}).select(*points.columns)
+def running_totals(points: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
+    """Replace each of ``values`` by its running total along ``time`` per ``keys``, rows of equal time
+    taken in together."""
+    sources = {f"_total_{v}": v for v in values}
+    totals = scan(points, keys, [time], totals=sources, peers=True)
+    return totals.withColumns({v: F.col(f"_total_{v}") for v in values}).select(*points.columns)
 
 
 def ordered_totals(

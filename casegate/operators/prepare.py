@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegate.operators.ordered import HOT_ROWS, flag_hot, sequence
+from casegate.operators.ordered import sequence
+from casegate.operators.scan import scan
 from casegate.schema import (
     ACTIVITY,
     BY_END,
@@ -17,7 +18,6 @@ from casegate.schema import (
     END,
     END_TS,
     KEY_COLUMNS,
-    MICROS_PER_HOUR,
     RESOURCE,
     SEQ,
     START,
@@ -105,7 +105,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
     return df.groupBy(*others).agg(F.min(SEQ).alias(SEQ)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def to_intervals(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def to_intervals(rows: DataFrame) -> DataFrame:
     """Pair ``start``/``complete`` rows (``transition``, ``ts``) first in, first out.
 
     Each complete row becomes one interval event.  It takes the earliest open
@@ -118,60 +118,17 @@ def to_intervals(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     with the k-th start: an equi-join on a unique key, no lists.
     """
     keys = [CASE, ACTIVITY]
-    flagged = flag_hot(rows, keys, hot_rows).withColumns(
-        {
-            "_slice": F.when(F.col("_hot"), F.floor(micros("ts") / F.lit(MICROS_PER_HOUR))),
-            "_open": (F.col("transition") == "start").cast("long"),
-            "_close": (F.col("transition") == "complete").cast("long"),
-        }
+    opens, closes = (F.col("transition") == "start").cast("long"), (F.col("transition") == "complete").cast("long")
+    counted = scan(
+        rows.withColumns({"_open": opens, "_close": closes}),
+        keys,
+        ["ts", SEQ],
+        totals={"_opens": "_open", "_closes": "_close", "_balance": F.col("_open") - F.col("_close")},
+        lows={"_low_before": "_balance"},
     )
-    running = (
-        Window.partitionBy(*keys, "_slice").orderBy("ts", SEQ).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    counted = flagged.withColumns(
-        {
-            "_opens": F.sum("_open").over(running),
-            "_closes": F.sum("_close").over(running),
-        }
-    )
-    counted = counted.withColumn("_low", F.min(F.col("_opens") - F.col("_closes")).over(running))
-
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        counted.filter(F.col("_hot"))
-        .groupBy(*keys, "_slice")
-        .agg(
-            F.max("_opens").alias("_o"),
-            F.max("_closes").alias("_c"),
-            F.min("_low").alias("_l"),
-        )
-        .withColumns(
-            {
-                "_o0": F.coalesce(F.sum("_o").over(across), F.lit(0)),
-                "_c0": F.coalesce(F.sum("_c").over(across), F.lit(0)),
-            }
-        )
-        .withColumn("_l0", F.min(F.col("_o0") - F.col("_c0") + F.col("_l")).over(across))
-        .select(*keys, "_slice", "_o0", "_c0", "_l0")
-    )
-    placed = counted.join(slices, [*keys, "_slice"], "left")
-    opens = F.col("_opens") + F.coalesce("_o0", F.lit(0))
-    closes = F.col("_closes") + F.coalesce("_c0", F.lit(0))
-    low = F.least(
-        F.lit(0),
-        F.coalesce("_l0", F.lit(0)),
-        F.col("_low") + F.coalesce(F.col("_o0") - F.col("_c0"), F.lit(0)),
-    )
-    low_before = F.least(
-        F.lit(0),
-        F.coalesce("_l0", F.lit(0)),
-        F.coalesce(F.lag("_low").over(Window.partitionBy(*keys, "_slice").orderBy("ts", SEQ)), F.lit(0))
-        + F.coalesce(F.col("_o0") - F.col("_c0"), F.lit(0)),
-    )
-    placed = placed.withColumns(
-        {
-            "_k": F.when(F.col("_open") == 1, opens).when(low == low_before, closes + low),
-        }
+    low = F.least("_low_before", "_balance")
+    placed = counted.withColumn(
+        "_k", F.when(F.col("_open") == 1, F.col("_opens")).when(low == F.col("_low_before"), F.col("_closes") + low)
     )
     starts = placed.filter(F.col("_open") == 1).select(
         *keys, "_k", F.col("ts").alias("_begin"), F.col(RESOURCE).alias("_who")
@@ -238,6 +195,6 @@ def add_boundaries(log: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 
 
-def traces(log: DataFrame, one_timestamp: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def traces(log: DataFrame, one_timestamp: bool = False) -> DataFrame:
     """Traces as rows: the log with the 0-based place of each event in its case."""
-    return sequence(log, BY_END if one_timestamp else BY_START, position="position", hot_rows=hot_rows)
+    return sequence(log, BY_END if one_timestamp else BY_START, position="position")

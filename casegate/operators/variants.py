@@ -11,20 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegate.operators.ordered import HOT_ROWS, dense_index, sequence
+from casegate.operators.ordered import dense_index, sequence
 from casegate.schema import ACTIVITY, BY_END, CASE
 
 SAME = ("variant_len", "_print_a", "_print_b")
 
 
-def placed_steps(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def placed_steps(log: DataFrame) -> DataFrame:
     """Events in completion order: case, position, activity, next activity."""
     return sequence(
         log.select(CASE, ACTIVITY, *BY_END),
         BY_END,
         leads={"next_activity": ACTIVITY},
         position="position",
-        hot_rows=hot_rows,
     ).select(CASE, "position", ACTIVITY, "next_activity")
 
 

@@ -8,17 +8,18 @@ accumulated at the resource up to ``t``.  A work interval [s, e] overlaps
 and each work interval reads it twice under its own check: no pairs, and no copy
 of the idle intervals per check.
 
-The line is cut into hourly slices.  Inside a slice sums are longs relative to
-its start; what earlier slices carry over is added up on one row per slice.
+The line is a segmented scan per resource.  Times enter its sums as whole minutes and the rest, so that
+the sums stay longs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegate.operators.names import names_frame
-from casegate.operators.ordered import HOT_ROWS, sequence
+from casegate.operators.ordered import sequence
+from casegate.operators.scan import scan
 from casegate.schema import (
     ACTIVITY,
     BY_START,
@@ -26,7 +27,7 @@ from casegate.schema import (
     END_TS,
     KO,
     KO_KEY,
-    MICROS_PER_HOUR,
+    MICROS_PER_SECOND,
     REJECTED,
     RESOURCE,
     SEQ,
@@ -35,24 +36,23 @@ from casegate.schema import (
 )
 
 BIG = "decimal(38,0)"
+MINUTE = 60 * MICROS_PER_SECOND
 
 
-def idle_intervals(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def idle_intervals(log: DataFrame) -> DataFrame:
     """Gaps between the end of an event and the next start in a passing case."""
     passing = log.filter(~F.col(REJECTED)).select(CASE, SEQ, ACTIVITY, RESOURCE, START_TS, END_TS)
-    stepped = sequence(passing, BY_START, leads={"next_start_ts": START_TS}, hot_rows=hot_rows)
+    stepped = sequence(passing, BY_START, leads={"next_start_ts": START_TS})
     return stepped.filter(F.col("next_start_ts") > F.col(END_TS))
 
 
-def waiting_time_waste(
-    log: DataFrame, kos, slice_us: int = MICROS_PER_HOUR, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def waiting_time_waste(log: DataFrame, kos) -> DataFrame:
     names = names_frame(log.sparkSession, kos, KO_KEY)
     if RESOURCE not in log.columns:
         return names.withColumn("waiting_waste_us", F.lit(0).cast("long"))
 
     idle = (
-        idle_intervals(log, hot_rows)
+        idle_intervals(log)
         .filter(F.col(RESOURCE).isNotNull())
         .select(
             RESOURCE,
@@ -64,8 +64,6 @@ def waiting_time_waste(
             ).alias("p"),
         )
         .select(RESOURCE, "p.*")
-        .groupBy(RESOURCE, "t")
-        .agg(F.sum("idle").alias("idle"))
         .select(RESOURCE, "t", "idle", F.lit(None).cast("string").alias(KO_KEY), F.lit(0).cast("long").alias("sign"))
     )
     work = (
@@ -81,44 +79,16 @@ def waiting_time_waste(
             ).alias("p"),
         )
         .select(RESOURCE, KO_KEY, "p.*")
-        .groupBy(RESOURCE, "t", KO_KEY)
-        .agg(F.sum("sign").alias("sign"))
         .select(RESOURCE, "t", F.lit(0).cast("long").alias("idle"), KO_KEY, "sign")
     )
-    points = (
-        idle.unionByName(work)
-        .withColumn("_slice", F.floor(F.col("t") / F.lit(slice_us)))
-        .withColumn("_at", F.col("t") - F.col("_slice") * slice_us)
+    points = idle.unionByName(work).withColumns(
+        {"_minute": F.floor(F.col("t") / F.lit(MINUTE)), "_rest": F.pmod("t", F.lit(MINUTE))}
     )
-
-    # Per slice: open idle intervals and idle time accumulated when it begins.
-    before = Window.partitionBy(RESOURCE).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("_slice").cast(BIG) * F.lit(slice_us)
-    moment = F.col("_idle").cast("decimal(19,0)") * begin + F.col("_moment")
-    carried = (
-        points.groupBy(RESOURCE, "_slice")
-        .agg(F.sum("idle").alias("_idle"), F.sum(F.col("idle") * F.col("_at")).alias("_moment"))
-        .select(
-            RESOURCE,
-            "_slice",
-            F.coalesce(F.sum("_idle").over(before), F.lit(0)).alias("_open"),
-            F.coalesce(F.sum(moment.cast(BIG)).over(before), F.lit(0).cast(BIG)).alias("_moments"),
-        )
-        .select(RESOURCE, "_slice", "_open", (F.col("_open") * begin - F.col("_moments")).cast(BIG).alias("_total"))
-    )
-
-    # Order inside equal times is free: a step at t adds nothing to G(t).
-    inside = (
-        Window.partitionBy(RESOURCE, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    running = points.withColumns(
-        {
-            "_n": F.sum("idle").over(inside),
-            "_m": F.sum(F.col("idle") * F.col("_at")).over(inside),
-        }
-    )
-    read = running.filter(F.col("sign") != 0).join(carried, [RESOURCE, "_slice"])
-    reached = F.col("_total") + ((F.col("_open") + F.col("_n")) * F.col("_at") - F.col("_m"))
+    # Rows of equal time in one step: a step at t adds nothing to G(t).
+    totals = {"_open": "idle", "_minutes": F.col("idle") * F.col("_minute"), "_rests": F.col("idle") * F.col("_rest")}
+    read = scan(points, [RESOURCE], ["t"], totals=totals, peers=True).filter(F.col("sign") != 0)
+    whole = F.col("_open") * F.col("_minute") - F.col("_minutes")
+    reached = whole.cast(BIG) * F.lit(MINUTE) + (F.col("_open") * F.col("_rest") - F.col("_rests"))
     waste = read.groupBy(KO_KEY).agg(F.sum((F.col("sign") * reached).cast(BIG)).cast("long").alias("_w"))
     return names.join(waste, KO_KEY, "left").select(
         KO_KEY, F.coalesce("_w", F.lit(0)).alias("waiting_waste_us")

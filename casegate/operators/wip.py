@@ -1,8 +1,8 @@
 """Work in progress and calendar features of events.
 
 The state of a series (all cases, one task, one role) at a time is the running sum
-of its +1/-1 steps, after all steps of that time.  Steps of every series are summed
-per (series, time) and share one running total; events then look their times up.
+of its +1/-1 steps, after all steps of that time.  Events and steps are marks on the
+time lines of their series: one sweep along them steps the states and reads them.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegate.operators.ordered import running_totals, sequence
+from casegate.operators.scan import column, scan
 from casegate.schema import (
     ACTIVITY,
     BY_START,
     CASE,
     END,
     END_TS,
-    MICROS_PER_HOUR,
     RESOURCE,
     SEQ,
     START,
@@ -28,7 +28,6 @@ from casegate.schema import (
 )
 
 ALL_CASES = "cases"
-SLICE_US = MICROS_PER_HOUR // 6
 
 
 def task_series(task: Column) -> Column:
@@ -78,9 +77,9 @@ def state_steps(log: DataFrame) -> DataFrame:
     )
 
 
-def states(steps: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def states(steps: DataFrame) -> DataFrame:
     """State of each series at each of its times."""
-    return running_totals(steps, ["series"], "t", ["delta"], slice_us).withColumnRenamed("delta", "state")
+    return running_totals(steps, ["series"], "t", ["delta"]).withColumnRenamed("delta", "state")
 
 
 def role_sizes(log: DataFrame) -> DataFrame:
@@ -89,41 +88,67 @@ def role_sizes(log: DataFrame) -> DataFrame:
     )
 
 
-def wip_features(log: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+#: The states an event reads.
+SLOTS = ("st_wip", "end_wip", "st_tsk_wip", "st_busy", "end_busy")
+
+
+def marks(log: DataFrame) -> Column:
+    """An event's places on the time lines: ``slot`` (which state it reads there, if any), ``series``, ``t``
+    and ``delta`` (how it changes the state), and the event itself on one of them.  ``log`` has ``role`` and
+    ``n_role``."""
+    inner = ~F.col(ACTIVITY).isin(START, END)
+    counted = inner & F.col("role").isNotNull()
+    begin, end = micros(START_TS), micros(END_TS)
+    event = F.struct(*[column(c) for c in log.columns if c not in (CASE, SEQ)])
+    up, down, none = F.when(counted, 1).otherwise(0), F.when(counted, -1).otherwise(0), F.lit(0)
+    edge = F.when(F.col(ACTIVITY) == START, 1).when(F.col(ACTIVITY) == END, -1).otherwise(0)
+    task, role, following = task_series(F.col(ACTIVITY)), role_series(F.col("role")), role_series(F.col("n_role"))
+
+    def mark(slot: str | None, series: Column, at: Column, delta: Column, shown: Column | None = None) -> Column:
+        return F.struct(
+            F.when(inner, F.lit(slot)).alias("slot"),
+            series.alias("series"),
+            at.alias("t"),
+            delta.cast("long").alias("delta"),
+            F.when(inner & F.lit(shown is not None), event).alias("event"),
+        )
+
+    return F.array(
+        mark("st_wip", F.lit(ALL_CASES), begin, edge, event),
+        mark("end_wip", F.lit(ALL_CASES), end, none),
+        mark("st_tsk_wip", task, begin, up),
+        mark(None, task, end, down),
+        mark("st_busy", role, begin, up),
+        mark(None, role, end, down),
+        mark("end_busy", following, end, none),
+    )
+
+
+def wip_features(log: DataFrame) -> DataFrame:
     """Events with case WIP at start and end, task WIP at start, the next task and
     role, and the occupancy of its own role at start and of the next role at end.
 
-    ``log`` has boundaries and a ``role``.  The five lookups of an event are exploded
-    into one equi-join on (series, time) and folded back by event.
+    ``log`` has boundaries and a ``role``.  A sweep of the time lines gives every mark its state, after
+    all steps of its time; one aggregate brings an event's marks, and with them the event, together.
     """
     stepped = sequence(log, BY_START, leads={"n_task": ACTIVITY, "n_role": "role"})
-    known = states(state_steps(stepped), slice_us)
-    inner = stepped.filter(~F.col(ACTIVITY).isin(START, END))
-    begin, end = micros(START_TS), micros(END_TS)
-
-    def look(slot: str, series: Column, at: Column) -> Column:
-        return F.struct(F.lit(slot).alias("slot"), series.alias("series"), at.alias("t"))
-
-    lookups = F.array(
-        look("st_wip", F.lit(ALL_CASES), begin),
-        look("end_wip", F.lit(ALL_CASES), end),
-        look("st_tsk_wip", task_series(F.col(ACTIVITY)), begin),
-        look("st_busy", role_series(F.col("role")), begin),
-        look("end_busy", role_series(F.col("n_role")), end),
+    lines = (
+        stepped.select(CASE, SEQ, F.explode(marks(stepped)).alias("m"))
+        .select(CASE, SEQ, "m.*")
+        .filter(F.col("series").isNotNull() & (F.col("slot").isNotNull() | (F.col("delta") != 0)))
     )
-    slots = ("st_wip", "end_wip", "st_tsk_wip", "st_busy", "end_busy")
-    folded = (
-        inner.select(CASE, SEQ, F.explode(lookups).alias("l"))
-        .select(CASE, SEQ, "l.*")
-        .filter(F.col("series").isNotNull())
-        .join(known, ["series", "t"])
-        .groupBy(CASE, SEQ)
-        .agg(*[F.max(F.when(F.col("slot") == s, F.col("state"))).alias(s) for s in slots])
+    read = scan(lines, ["series"], ["t"], totals={"state": "delta"}, peers=True).filter(F.col("slot").isNotNull())
+    found = (
+        read.groupBy(CASE, SEQ)
+        .agg(
+            F.first("event", ignorenulls=True).alias("event"),
+            *[F.max(F.when(F.col("slot") == s, F.col("state"))).alias(s) for s in SLOTS],
+        )
+        .select(CASE, SEQ, "event.*", *SLOTS)
     )
     sizes = role_sizes(log)
     return (
-        inner.join(folded, [CASE, SEQ])
-        .join(sizes, "role", "left")
+        found.join(sizes, "role", "left")
         .join(sizes.select(F.col("role").alias("n_role"), F.col("role_size").alias("_next")), "n_role", "left")
         .withColumns(
             {
@@ -135,7 +160,7 @@ def wip_features(log: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     )
 
 
-def role_pool(log: DataFrame, roles: Sequence[str], at_end: bool = False, slice_us: int = SLICE_US) -> DataFrame:
+def role_pool(log: DataFrame, roles: Sequence[str], at_end: bool = False) -> DataFrame:
     """Occupancy of every given role at each event, one column per role.
 
     All roles are read at the distinct event times only; events join that table
@@ -157,7 +182,7 @@ def role_pool(log: DataFrame, roles: Sequence[str], at_end: bool = False, slice_
     sizes = role_sizes(log).select(role_series(F.col("role")).alias("series"), "role", "role_size")
     names = {r: r.lower().replace(" ", "_") + suffix for r in roles}
     table = (
-        states(steps, slice_us)
+        states(steps)
         .join(sizes, "series")
         .groupBy("t")
         .agg(
@@ -174,7 +199,7 @@ def role_pool(log: DataFrame, roles: Sequence[str], at_end: bool = False, slice_
     )
 
 
-def mean_states(log: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def mean_states(log: DataFrame) -> DataFrame:
     """Mean state of all cases and of each task over the distinct times of the log.
 
     A step at a time counts for that time and all later ones, so the mean is
@@ -183,7 +208,7 @@ def mean_states(log: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """
     steps = state_steps(log.withColumn("n_role", F.lit(None).cast("string")))
     times = steps.select("t").distinct().withColumn("upto", F.lit(1).cast("long"))
-    ranked = running_totals(times, [], "t", ["upto"], slice_us)
+    ranked = running_totals(times, [], "t", ["upto"])
     total = times.agg(F.count(F.lit(1))).scalar()
     return (
         steps.filter(~F.col("series").startswith("role "))

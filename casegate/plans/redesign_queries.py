@@ -300,13 +300,31 @@ def e6(spark, folder):
     return wip.states(wip.state_steps(log))
 
 
+PARTS["marks"] = """
+SELECT case_id, seq, 'st_wip' AS slot, 'cases' AS series, start_ts AS t,
+       CASE activity WHEN 'Start' THEN 1 WHEN 'End' THEN -1 ELSE 0 END AS delta FROM dayrn
+UNION ALL SELECT case_id, seq, 'end_wip', 'cases', end_ts, 0 FROM dayrn
+UNION ALL SELECT case_id, seq, 'st_tsk_wip', 'task ' || activity, start_ts, 1 FROM dayrn WHERE role IS NOT NULL
+UNION ALL SELECT case_id, seq, NULL, 'task ' || activity, end_ts, -1 FROM dayrn WHERE role IS NOT NULL
+UNION ALL SELECT case_id, seq, 'st_busy', 'role ' || role, start_ts, 1 FROM dayrn WHERE role IS NOT NULL
+UNION ALL SELECT case_id, seq, NULL, 'role ' || role, end_ts, -1 FROM dayrn WHERE role IS NOT NULL
+UNION ALL SELECT case_id, seq, 'end_busy', 'role ' || n_role, end_ts, 0 FROM dayrn WHERE n_role IS NOT NULL"""
+
+PARTS["reads"] = """
+SELECT case_id, seq, slot, sum(delta) OVER (PARTITION BY series ORDER BY t) AS state FROM marks"""
+
+PARTS["wip"] = """
+SELECT case_id, seq, CAST(max(state) FILTER (slot = 'st_wip') AS BIGINT) AS st_wip,
+       CAST(max(state) FILTER (slot = 'end_wip') AS BIGINT) AS end_wip,
+       CAST(max(state) FILTER (slot = 'st_tsk_wip') AS BIGINT) AS st_tsk_wip,
+       max(state) FILTER (slot = 'st_busy') AS st_busy, max(state) FILTER (slot = 'end_busy') AS end_busy
+FROM reads WHERE slot IS NOT NULL GROUP BY ALL"""
+
 WIP_SQL = """
-SELECT d.case_id, d.seq, d.n_task, d.n_role, a.state AS st_wip, e.state AS end_wip, k.state AS st_tsk_wip,
-       round(r.state / rs.n, 6) AS rp_st_oc, round(coalesce(m.state / ms.n, 0), 6) AS rp_end_oc
-FROM dayrn d JOIN statesat a ON a.series = 'cases' AND a.t = d.start_ts JOIN statesat e ON e.series = 'cases' AND e.t = d.end_ts
-JOIN statesat k ON k.series = 'task ' || d.activity AND k.t = d.start_ts
-LEFT JOIN statesat r ON r.series = 'role ' || d.role AND r.t = d.start_ts LEFT JOIN rsize rs ON rs.role = d.role
-LEFT JOIN statesat m ON m.series = 'role ' || d.n_role AND m.t = d.end_ts LEFT JOIN rsize ms ON ms.role = d.n_role
+SELECT d.case_id, d.seq, d.n_task, d.n_role, w.st_wip, w.end_wip, w.st_tsk_wip,
+       round(w.st_busy / rs.n, 6) AS rp_st_oc, round(coalesce(w.end_busy / ms.n, 0), 6) AS rp_end_oc
+FROM dayrn d JOIN wip w ON w.seq = d.seq AND w.case_id = d.case_id
+LEFT JOIN rsize rs ON rs.role = d.role LEFT JOIN rsize ms ON ms.role = d.n_role
 WHERE d.activity NOT IN ('Start', 'End')"""
 
 
