@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegate.lineage import cut_lineage
+from casegate.operators.names import names_of
 from casegate.operators.ordered import dense_index
+from casegate.operators.similar import correlated_groups
 from casegate.schema import ACTIVITY, END, RESOURCE, START
 
 AUTOMATIC = "AUTO"
@@ -112,6 +114,28 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def count_vectors(frequencies: DataFrame) -> DataFrame:
+    """One row per resource (``v``) with its counts over all tasks, by task name."""
+    tasks = F.array(*[F.lit(name) for name in names_of(frequencies, ACTIVITY)]).cast("array<string>")
+    known = F.map_from_entries(F.collect_list(F.struct(ACTIVITY, "freq")))
+    return frequencies.groupBy(F.col(RESOURCE).alias("v")).agg(known.alias("_known")).select(
+        "v", F.transform(tasks, lambda name: F.coalesce(F.element_at("_known", name), F.lit(0)).cast("long")).alias("counts")
+    )
+
+
+def profile_groups(sample: DataFrame, threshold: float) -> DataFrame:
+    """``v, component``: groups of profiles linked by correlations above the threshold.
+
+    Found without pairs for thresholds of 0 and more; pairs are made where profiles are too different for
+    that, and below 0.
+    """
+    found = correlated_groups(count_vectors(sample), threshold) if threshold >= 0 else None
+    if found is None:
+        profiles = sample.select(F.col(RESOURCE).alias("v")).distinct()
+        found = connected_components(profiles, profile_correlations(sample, threshold))
+    return found
+
+
 def discover_roles(log: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Resources with their role: connected groups of profiles that correlate above
     the threshold, numbered by size (largest first), then first member."""
@@ -120,7 +144,7 @@ def discover_roles(log: DataFrame, threshold: float = 0.7) -> DataFrame:
     profiles = classes.select(F.col("profile").alias("v")).distinct()
     sample = frequencies.join(profiles, frequencies[RESOURCE] == profiles["v"], "left_semi")
     # Every task stays in the sample: each resource's tasks are those of its profile.
-    found = connected_components(profiles, profile_correlations(sample, threshold))
+    found = profile_groups(sample, threshold)
     members = lone_constants(classes, sample).join(
         found.withColumnRenamed("v", "profile"), "profile"
     ).select(RESOURCE, F.coalesce("_own", "component").alias("component"))
