@@ -6,7 +6,12 @@ container's points are discounted by the share of its text that stands in links.
 most points is kept, as the whole ``article`` or ``main`` it lies in; of its siblings, articles and
 blocks that score a fifth of its points are kept too.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out by their elements, roles and class
-or id words, before scoring and from what is kept.
+or id tokens, before scoring and from what is kept.
+
+A token tells a part by its last word or by a word like ``comments``; tokens that tell a state
+(``with-ads``, ``comments-open``) do not count, and an ``article`` goes only inside another.  What a
+token or a form would leave out stays where it holds most of the page: half of its text for a token, three
+quarters for a form (half where an ``article`` or ``main`` is in it).  Of a form that stays its controls go.
 
 Defined results: a null or empty page, and one without text, has the empty text; broken mark-up is
 read as far as it goes (an unfinished tag at the end is dropped); null ids and repeated rows are each
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from casegate.llm.common import parts
 
 # Element names of HTML and words that pages use for their parts.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -33,7 +38,7 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary".split())
-LEFT_OUT = frozenset("nav footer aside form button select option label menu dialog head object canvas audio video".split())
+LEFT_OUT = frozenset("nav footer aside button select option label menu dialog head object canvas audio video annotation annotation-xml".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ALWAYS_OUT = frozenset(
@@ -46,6 +51,9 @@ OFTEN_OUT = frozenset(
     "widget widgets pagination pager toolbar copyright replies".split()
 )
 MAIN_WORDS = frozenset("article body content entry main post story text page".split())
+SITE_WORDS = frozenset("main page".split())
+STATES_BEFORE = frozenset("with without has have no not is hide hides show shows enable disable".split())
+STATES_AFTER = frozenset("open opened closed enabled disabled on off allowed active inactive free supported ready present".split())
 CLOSED_BY = {  # a start tag ends open elements of these names, up to one of the second
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -69,6 +77,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _COMMAS = re.compile("[,،、，]")
 SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
 SIBLING_SHARE = 0.2
+#: Why an element is left out: for itself, by a token of the first or second set of words, as a form.
+FIRM, ALWAYS, OFTEN, FORM = 1, 2, 3, 4
+#: Shares of the page's text with which it stays all the same.
+MOST_OF_TOKEN, MOST_OF_FORM = 0.5, 0.75
 MOST_LINKED = 0.4
 
 
@@ -76,7 +88,7 @@ class Page:
     """Elements in page order; ``pieces`` are texts with their elements, None where blocks break."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.out = ["html"], [-1], [False]
+        self.tags, self.parents, self.why = ["html"], [-1], [0]
         self.inside_article = [False]
         self.last = [0]
         self.pieces: list[tuple[int, str | None]] = []
@@ -86,6 +98,7 @@ class Page:
         self._read(source)
         while self._open:
             self._pop()
+        self.out = self._outs()
 
     def _pop(self) -> None:
         node = self._open.pop()
@@ -100,28 +113,72 @@ class Page:
         while len(self._open) > place:
             self._pop()
 
-    def _left_out(self, tag: str, attributes: str, parent: int) -> bool:
-        if tag in ("html", "body", "main", "article") and not attributes:
-            return False
+    def _reason(self, tag: str, attributes: str, parent: int) -> int:
+        """Why an element is left out, 0 if it is not."""
         if tag in LEFT_OUT:
-            return True
-        if tag == "header":
-            return not self.inside_article[parent]
-        if not attributes:
-            return False
-        words: set[str] = set()
+            return FIRM
+        if tag == "header" and not self.inside_article[parent]:
+            return FIRM
+        reason = FORM if tag == "form" else 0
+        if not attributes or tag in ("html", "body", "main"):
+            return reason
+        tokens: list[str] = []
         for name, *values in _NAMED.findall(attributes):
             value = "".join(values)
-            if name.lower() == "role":
-                if value.strip().lower() in ROLES and tag not in ("html", "body", "main"):
-                    return True
-            else:
-                words.update(w.lower() for w in _WORDS.findall(value))
-        if tag in ("html", "body", "main"):
-            return False
-        if words & ALWAYS_OUT or _HIDDEN.search(attributes):
-            return True
-        return bool(words & OFTEN_OUT) and not words & MAIN_WORDS and tag != "article"
+            if name.lower() != "role":
+                tokens += value.split()
+            elif value.strip().lower() in ROLES:
+                if value.strip().lower() != "form":
+                    return FIRM
+                reason = FORM
+        if _HIDDEN.search(attributes):
+            return FIRM
+        named = {self._part(token, parent) for token in tokens}
+        if tag == "article":
+            return ALWAYS if ALWAYS in named and self.inside_article[parent] else reason
+        return min(named - {0}, default=reason)
+
+    def _part(self, token: str, parent: int) -> int:
+        """Which set of words tells the part that a class or id token names, if any."""
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if not words or words[0] in STATES_BEFORE or words[-1] in STATES_AFTER:
+            return 0
+        if not ALWAYS_OUT.isdisjoint(words):
+            return ALWAYS
+        if OFTEN_OUT.isdisjoint(words):
+            return 0
+        if MAIN_WORDS.isdisjoint(words):
+            return OFTEN
+        if words[-1] == "header":  # the head of an article, or of the site
+            return OFTEN if words[0] in SITE_WORDS and not self.inside_article[parent] else 0
+        return OFTEN if words[-1] in OFTEN_OUT else 0
+
+    def _outs(self) -> list[bool]:
+        """Which elements are left out, with all that is in them."""
+        count = len(self.tags)
+        firm = [self.why[0] == FIRM] * count
+        for node in range(1, count):
+            firm[node] = firm[self.parents[node]] or self.why[node] == FIRM
+        size, main = [0] * count, [False] * count
+        for node, text in self.pieces:
+            if text is not None and not firm[node]:
+                size[node] += len(text.strip())
+        for node in range(count - 1, 0, -1):
+            size[self.parents[node]] += size[node]
+            main[node] = main[node] or (self.tags[node] in ("article", "main") and not firm[node])
+            main[self.parents[node]] = main[self.parents[node]] or main[node]
+        out = list(firm)
+        for node in range(1, count):
+            share, why = size[node] / size[0] if size[0] else 0, self.why[node]
+            stays = why == 0
+            if why == ALWAYS:
+                stays = main[node] and self.tags[node] != "article" and share >= MOST_OF_TOKEN
+            elif why == OFTEN:
+                stays = share >= MOST_OF_TOKEN
+            elif why == FORM:
+                stays = share >= (MOST_OF_TOKEN if main[node] else MOST_OF_FORM)
+            out[node] = out[self.parents[node]] or not stays
+        return out
 
     def _end_head(self) -> None:
         """What cannot stand in a head ends it: its end tag is optional."""
@@ -154,7 +211,7 @@ class Page:
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(parent)
-        self.out.append(self.out[parent] or self._left_out(tag, attributes, parent))
+        self.why.append(self._reason(tag, attributes, parent))
         self.inside_article.append(self.inside_article[parent] or tag in ("article", "main"))
         self.last.append(node)
         if tag in BLOCKS:
@@ -199,12 +256,20 @@ class Page:
                 self._end_head()
             if closing:
                 self._end(tag)
-            elif tag in RAW and not attributes.endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(source, at)
-                at = close.end() if close else end
+            elif tag in RAW:
+                at = self._raw_end(source, at, tag, attributes.endswith("/"))
             else:
                 self._start(tag, attributes)
 
+    @staticmethod
+    def _raw_end(source: str, at: int, tag: str, slashed: bool) -> int:
+        """Where the content of a raw element ends.  A slash does not close it, except where no end tag
+        follows before the next such element."""
+        close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(source, at)
+        if slashed and (tag == "svg" or not close or re.compile(f"<{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at, close.start())):
+            return at
+        return close.end() if close else len(source)
+
     def block_of(self) -> list[int]:
         """The nearest block of each element, itself included."""
         nearest: list[int] = []

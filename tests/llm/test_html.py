@@ -77,6 +77,27 @@ def test_heads_without_an_end_tag(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<body><article class='post comments-open'><h1>T</h1><p>{TEXT}</p></article></body>", f"T {PLAIN}"),
+        (f"<body><div id=content class=with-ads><p>{TEXT}</p></div><div class=ads>{TEXT}</div></body>", PLAIN),
+        (f"<body><form id=aspnetForm><input name=q><label>Find</label><div class=main-menu>Home</div><article><p>{TEXT}</p></article><select><option>a</select></form></body>", PLAIN),
+        (f"<body><form><div id=wrap><h1>T</h1><p>{TEXT}</p></div><button>Go</button></form></body>", f"T {PLAIN}"),
+        (f"<main><div class=main-menu>Home page About us</div><p>{TEXT}</p><div class=page-footer>Imprint</div><div class=content-sidebar>x</div></main>", PLAIN),
+        (f"<body><div class=page-header>Site</div><div><p>{TEXT}</p></div></body>", PLAIN),
+        (f"<main><div class=entry-header><h1>T</h1></div><p>{TEXT}</p></main>", f"T {PLAIN}"),
+        (f"<article><p>{TEXT}<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> end</p></article>", f"{PLAIN} x=2 end"),
+        (f"<body><script src=//cdn/>code()</script><div><p>{TEXT}</p></div><script src=/b/>more()</script></body>", PLAIN),
+        (f"<body><div><p>{TEXT}</p></div><div class=comments-area><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div></body>", PLAIN),
+        (f"<article><p>{TEXT}</p><article class=comment><p>{TEXT}</p></article></article>", PLAIN),
+        (f"<body><div class='page-with-widgets sidebar-layout'><p>{TEXT}</p></div><div class=sidebar><p>x, y</p></div></body>", PLAIN),
+    ],
+)
+def test_parts_are_told_from_states_and_wrappers(page, expected):
+    assert main_text(page) == expected
+
+
 def test_very_long_and_deep_pages():
     assert main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert main_text("<p><b><i>" * 30_000 + "y") == "y"
