@@ -1,15 +1,13 @@
 """Licence scans by sentence rules.  DataFrame functions only.
 
-A text is cut into sentences (at line ends, and at ``. ; : ! ?`` before white space), which are lower-
-cased (A-Z) and reduced to letters and digits.  Sentences that speak of licences are mapped to the
-identifier of the first known licence sentence they hold; the others of them are ``Unknown``.  The
-sequence of identifiers is matched against ordered licence rules: each rule that occurs names its
-licence and uses up its identifiers, so that a whole licence text goes before its parts.
-
-Sentences that are wrapped over several lines are therefore not known, nor is a tag with a space after
-``SPDX-License-Identifier:``; the SQL of the query says the same.  With ``wrapped`` lines are joined
-first: comment marks go, a sentence ends at blank lines, and at ``. ; : ! ?`` before white space, and a
-tag is a sentence with its value.
+A text is lower-cased (A-Z) and read line by line: comment marks go, wrapped lines are joined.  A sentence
+ends at ``. ; : ! ?`` before white space (not in ``v. 2.0``), at lines without a letter or digit, and before
+lines that open like a licence notice; a ``License-Identifier:`` tag is a sentence with each licence of its
+expression (exceptions after ``WITH`` do not count).  Sentences are reduced to letters and digits.  Those
+that speak of licences are mapped to the identifier of the first known licence sentence they hold; the
+others of them, and references that are denied ("may not be used under ..."), are ``Unknown``.  The sequence
+of identifiers is matched against ordered licence rules: each rule that occurs names its licence and uses up
+its identifiers, so that a whole licence text goes before its parts.
 
 Defined results: a null text is empty; null ids and repeated rows are each returned; an empty table
 gives no rows; only the named columns are read.
@@ -17,6 +15,8 @@ gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,12 @@ SENTENCES = (
     ("SpdxBSD2", "spdx license identifier bsd 2 clause$"),
     ("SpdxBSD3", "spdx license identifier bsd 3 clause$"),
     ("SpdxMPL2", "spdx license identifier mpl 2 0$"),
+    ("SpdxAGPL3", "spdx license identifier agpl 3 0( only| or later)?$"),
+    ("SpdxLGPL21", "spdx license identifier lgpl 2 1( only| or later)?$"),
+    ("SpdxLGPL3", "spdx license identifier lgpl 3 0( only| or later)?$"),
+    ("SpdxISC", "spdx license identifier isc$"),
+    ("SpdxEPL2", "spdx license identifier epl 2 0$"),
+    ("SpdxUnlicense", "spdx license identifier unlicense$"),
     ("ApacheRef", "licensed under the apache license version 2 0|under the terms of the apache license version 2 0"),
     ("ApacheCompliance", "you may not use this file except in compliance with the license"),
     ("ApacheObtain", "you may obtain a copy of the license at"),
@@ -42,12 +48,12 @@ SENTENCES = (
     ("GPLRef2", "gnu general public license.*version 2"),
     ("GPLWarranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("GPLCopy", "you should have received a copy of the gnu general public license"),
-    ("MPLRef2", "mozilla public license (v|version )2 0"),
-    ("EPLRef2", "eclipse public license (v|version )2 0"),
-    ("CCByNcSa4", "cc by nc sa 4 0|creative commons attribution noncommercial sharealike 4 0"),
-    ("CCByNcNd4", "cc by nc nd 4 0|creative commons attribution noncommercial noderivatives 4 0"),
-    ("CCByNc4", "cc by nc 4 0|creative commons attribution noncommercial 4 0"),
-    ("CCBySa4", "cc by sa 4 0|creative commons attribution sharealike 4 0"),
+    ("MPLRef2", "mozilla public license (v ?|version )?2 0"),
+    ("EPLRef2", "eclipse public license (v ?|version )?2 0"),
+    ("CCByNcSa4", "cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0"),
+    ("CCByNcNd4", "cc by nc nd 4 0|creative commons attribution non ?commercial no ?deriv(ative)?s 4 0"),
+    ("CCByNc4", "cc by nc 4 0|creative commons attribution non ?commercial 4 0"),
+    ("CCBySa4", "cc by sa 4 0|creative commons attribution share ?alike 4 0"),
     ("CCBy4", "cc by 4 0|creative commons attribution 4 0"),
     ("CCZero", "cc0 1 0|creative commons zero"),
     ("MITRef", "(under|terms of) the mit license"),
@@ -102,46 +108,79 @@ RULES = (
     ("BSD-2-Clause", ("SpdxBSD2",)),
     ("BSD-3-Clause", ("SpdxBSD3",)),
     ("MPL-2.0", ("SpdxMPL2",)),
+    ("AGPL-3.0", ("SpdxAGPL3",)),
+    ("LGPL-2.1", ("SpdxLGPL21",)),
+    ("LGPL-3.0", ("SpdxLGPL3",)),
+    ("ISC", ("SpdxISC",)),
+    ("EPL-2.0", ("SpdxEPL2",)),
+    ("Unlicense", ("SpdxUnlicense",)),
     ("proprietary", ("AllRights",)),
 )
 #: Words of which a licence sentence holds one.
-SPEAKS = "licen[cs]e|copyright|permission is|permission to|redistribution|warrant|all rights reserved|endorse or promote|provided by the copyright|public domain|as is basis| cc by | cc0 "
+SPEAKS = "licen[cs]e|copyright|permission is|permission to|redistribution|warrant|all rights reserved|endorse or promote|provided by the copyright|public domain|as is basis|creative commons| cc by | cc0 "
 #: The same before reduction, for a quick look at a whole text.
-_SPEAKS_RAW = "(?i)licen[cs]e|copyright|permission|redistribution|warrant|rights|endorse|domain|basis|cc"
+_SPEAKS_RAW = "(?i)licen[cs]e|copyright|permission|redistribution|warrant|rights|endorse|domain|basis|creative|cc"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Sentences that refer to a licence, and what denies a reference.
+_REFERS = "Ref|^CC"
+_DENIED = "(^| )(not|never|cannot|no longer|nor|neither) ([a-z0-9]+ ){0,6}(under|licensed) "
+
+
 def _named(sentence: str, found: str) -> str:
     """SQL: the identifier of a reduced sentence, null for one that is not about licences; ``found``
     is the dialect's test of a pattern."""
-    cases = " ".join(f"when {found.format(sentence, pattern)} then '{name}'" for name, pattern in SENTENCES)
+    denied = found.format(sentence, _DENIED)
+    cases = " ".join(
+        f"when {found.format(sentence, pattern)}{f' and not {denied}' if re.search(_REFERS, name) else ''} then '{name}'" for name, pattern in SENTENCES
+    )
     return f"case when not {found.format(f'concat({chr(39)} {chr(39)}, {sentence}, {chr(39)} {chr(39)})', SPEAKS)} then null {cases} else 'Unknown' end"
 
 
-#: Comment marks at the begin and the end of a line, which are no part of its text.
-_MARKS_BEFORE = r"(?im)^[ \t]*(?:(?:/\*+|\*+(?!/)|//+|#+|;+|--+(?!>)|<!--+|%+|(?:rem|dnl)(?=[ \t]))[ \t]*)?"
-_MARKS_AFTER = r"(?m)[ \t]*(?:\*+/|--+>|\*+)?[ \t]*$"
-_TAGGED = r"(?im)^(.*license-identifier:)[ \t]*(.*)$"
-
+# Patterns of lines, for lower-cased text; Java and RE2 read them alike.
+#: Comment marks where a line begins.
+_MARKS = r"^[ \t]*[/*#;%<!>|-]*[ \t]*((rem|dnl)[ \t]+)?"
+#: How licence notices open.
+_OPENS = (
+    r"^(licen[cs]ed under|released under|distributed under|copyright +(\(c\)|©|[0-9])|permission is hereby|permission to use|"
+    r"redistribution and use|all rights reserved|this (program|library|work|file|software|code|project) is )"
+)
+_TAG = "license-identifier:"
+_EXCEPTION = r"[ \t]+with[ \t]+[a-z0-9.+-]+"
+_OPERATOR = r"[ \t]+(and|or)[ \t]+"
+_VERSION = r"(^|[^a-z])(v|ver|version)\.[ ]+([0-9])"
+_STOP = r"([.;:!?])[ \t\r\n]+"
+
+
+def sentences(text: Column) -> Column:
+    """The reduced sentences of a text, in order."""
+    lower = F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"\r\n?", "\n")
+
+    def read(line: Column) -> Column:
+        line = F.regexp_replace(line, _MARKS, "")
+        at = F.instr(line, _TAG)
+        value = F.regexp_replace(F.trim(F.substring(line, at + len(_TAG), F.length(line))), _EXCEPTION, "")
+        tagged = F.concat(
+            F.lit("\n\n"), F.substring(line, F.lit(1), at + len(_TAG) - 1), F.regexp_replace(value, _OPERATOR, f"\n\nspdx-{_TAG}"), F.lit("\n\n")
+        )
+        opening = F.when(line.rlike(_OPENS), F.concat(F.lit("\n\n"), line)).otherwise(line)
+        return F.when(~line.rlike("[a-z0-9]"), "").when(at > 0, tagged).otherwise(opening)
 
-def unwrapped(text: Column) -> Column:
-    """A sentence a line: wrapped lines joined, comment marks removed, tags with their values."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, _MARKS_AFTER, ""), _MARKS_BEFORE, "")
-    text = F.regexp_replace(text, _TAGGED, "\n$1$2\n")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\r"), r"\n", " ")
+    joined = F.array_join(F.transform(F.split(lower, "\n"), read), "\n")
+    joined = F.regexp_replace(F.regexp_replace(joined, "\n{2,}", "\r"), "\n", " ")
+    cut = F.split(F.regexp_replace(F.regexp_replace(joined, _VERSION, "$1$2 $3"), _STOP, "$1\n"), "[\r\n]+")
+    return F.transform(cut, lambda part: F.trim(F.regexp_replace(part, "[^a-z0-9]+", " ")))
 
 
-def scan(docs: DataFrame, id_col: Column, text_col: Column, wrapped: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: Column, text_col: Column) -> DataFrame:
     """``id, sentence_ids, licenses, n_unknown``: identifiers in text order, licences in rule order
-    without repeats, both comma-joined, and the number of licence sentences that are not known.
-    ``wrapped`` joins wrapped sentences first, which the query and its SQL do not."""
+    without repeats, both comma-joined, and the number of licence sentences that are not known."""
     text = text_col.cast("string")
-    read = docs.select(id_col.alias("id"), (unwrapped(text) if wrapped else text).alias("text"))
-    cut = "split(regexp_replace(text, '([.;:!?])[ \\\\t\\\\r\\\\n]+', '$1\\n'), '[\\\\r\\\\n]+')"
-    reduced = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' '))"
+    none = F.array().cast("array<string>")
+    read = docs.select(id_col.alias("id"), F.when(text.rlike(_SPEAKS_RAW), sentences(text)).otherwise(none).alias("cut"))
     named = _named("s", "{0} rlike '{1}'")
-    ids = f"if(text rlike '{_SPEAKS_RAW}', filter(transform(transform({cut}, s -> {reduced}), s -> {named}), i -> i is not null), cast(array() as array<string>))"
+    ids = f"filter(transform(cut, s -> {named}), i -> i is not null)"
     listed = read.selectExpr("id", f"coalesce({ids}, cast(array() as array<string>)) ids")
     rules = ", ".join(f"struct('{name}' name, ',{',,'.join(sequence)},' seq)" for name, sequence in RULES)
     walked = f"""
@@ -170,14 +209,25 @@ def oracle(documents: str = "documents") -> str:
         )
         last = f"walk{at}"
     return f"""
-    WITH cut AS (
+    WITH lines AS (
       SELECT row_number() OVER () AS row, doc_id,
-        string_split_regex(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\n]+', '\\1\n', 'g'), '[\\r\\n]+') parts
+        list_transform(string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '\\r\\n?', '\n', 'g'), '\n'),
+          lambda line: regexp_replace(line, '{_MARKS}', '')) AS lines
       FROM {documents}),
+    joined AS (
+      SELECT row, doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(lines, lambda line:
+        CASE WHEN NOT regexp_matches(line, '[a-z0-9]') THEN ''
+          WHEN contains(line, '{_TAG}') THEN '\n\n' || line[:instr(line, '{_TAG}') + {len(_TAG) - 1}] ||
+            regexp_replace(regexp_replace(trim(line[instr(line, '{_TAG}') + {len(_TAG)}:]), '{_EXCEPTION}', '', 'g'), '{_OPERATOR}', '\n\nspdx-{_TAG}', 'g') || '\n\n'
+          WHEN regexp_matches(line, '{_OPENS}') THEN '\n\n' || line ELSE line END), '\n'), '\n{{2,}}', '\r', 'g'), '\n', ' ', 'g') AS text
+      FROM lines),
+    cut AS (
+      SELECT row, doc_id, string_split_regex(
+        regexp_replace(regexp_replace(text, '{_VERSION}', '\\1\\2 \\3', 'g'), '{_STOP}', '\\1\n', 'g'), '[\r\n]+') AS parts FROM joined),
     sentences AS (
       SELECT row, doc_id, unnest(parts) part, unnest(range(len(parts))) place FROM cut),
     reduced AS (
-      SELECT row, doc_id, place, trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) s FROM sentences),
+      SELECT row, doc_id, place, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) s FROM sentences),
     named AS (SELECT row, doc_id, place, {named} i FROM reduced),
     walk0 AS MATERIALIZED (
       SELECT any_value(doc_id) doc_id, coalesce(list(i ORDER BY place) FILTER (i IS NOT NULL), CAST([] AS VARCHAR[])) ids,

@@ -21,9 +21,20 @@ CASES = [
     (MIT, "MIT", 0), (BSD, "BSD-3-Clause", 0), ("\n".join(x for x in BSD.split("\n") if "Neither" not in x), "BSD-2-Clause", 0),
     ("Text. Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", 0), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 0), ("Released under the MIT License.", "MIT", 0),
-    ("SPDX-License-Identifier: MIT", "", 1), ("// SPDX-License-Identifier:MIT\ncode", "MIT", 0), ("All rights reserved!", "proprietary", 0),
+    ("SPDX-License-Identifier: MIT", "MIT", 0), ("// SPDX-License-Identifier:MIT\ncode", "MIT", 0), ("All rights reserved!", "proprietary", 0),
     ("A licence of some kind. Another license text.", "", 2), ("nothing to see", "", 0), ("", "", 0), (None, "", 0),
     ("Released under the MIT License.\n" * 3 + MIT, "MIT", 0), ("licensed under the apache license version 2 0 " * 20_000, "Apache-2.0", 0),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file", "MPL-2.0", 0),
+    ("Texts are released under Creative Commons Attribution 4.0 International", "CC-BY-4.0", 0),
+    ("under Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-NC-SA-4.0", 0),
+    ("SPDX-License-Identifier:AGPL-3.0-only", "AGPL-3.0", 0), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1", 0),
+    ("SPDX-License-Identifier: ISC", "ISC", 0), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0", 0), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0", 0),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT,Apache-2.0", 0),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause", "GPL-2.0,BSD-3-Clause", 0),
+    ("This may not be used under the MIT License.", "", 1), ("It is not licensed under the Apache License, Version 2.0", "", 1),
+    ("Licensed under the MIT License\nLicensed under the Apache License, Version 2.0\nmore text", "Apache-2.0,MIT", 0),
+    ("Lines of\nprose are released\nunder the MIT\nLicense by us\n\nand then All rights\nreserved", "MIT,proprietary", 0),
+    (" " * 100_000 + "*" * 100_000 + "\n" + "-" * 100_000 + " copyright", "", 1),
     ("É… « copyright » ßÜ; CC0 1.0", "CC0-1.0", 1),
 ]
 
@@ -66,7 +77,7 @@ def test_wrapped_headers(spark, mark):
     texts = [begin + "\n".join((each + line).rstrip() for line in text.split("\n")) + end for text, _, _ in cases]
     rows = list(enumerate([*texts, *(t.replace("\n", "\r\n") for t in texts)]))
     docs = documents(spark, [*rows, (None, None)])
-    got = {r.id: r for r in licenses.scan(docs, docs["doc_id"], docs["text"], wrapped=True).collect()}
+    got = {r.id: r for r in licenses.scan(docs, docs["doc_id"], docs["text"]).collect()}
     assert (got[None].licenses, got[None].n_unknown) == ("", 0)
     for i, _ in rows:
         _, ids, wanted = cases[i % len(cases)]
