@@ -4,8 +4,9 @@ After Fuernkranz and Widmer (1994) and Cohen (1995).  Cases are binned and count
 with one row per combination of attribute bins, label and grow/prune part.  Each learner is a
 generator that asks for counts and is sent them; all learners (checks, folds, settings) are asked in
 lock step, so a job answers one question of each.  A growth step brings the counts of both parts, so
-pruning and description lengths need no jobs of their own.  The driver holds rules and the winner of
-each step, never cases.
+pruning and description lengths need no jobs of their own.  The driver holds rules, the winner of each
+step and count tables of at most ``LOCAL_COMBINATIONS`` rows, never cases: such a table is counted there,
+a larger one by a job per round of questions, with the same answers.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ GAIN_FLOOR = 1e-9
 #: Looks that one job answers, and combinations that one task reads: batching only, none is left out.
 LOOKS_PER_JOB = 400
 COMBINATIONS_PER_TASK = 100_000
+#: Rows of a count table (combinations of bins, not cases) up to which it is read once, by the driver.
+LOCAL_COMBINATIONS = 100_000
 #: The part of rows that are only scored.
 TEST = -1
 
@@ -103,6 +106,7 @@ class Counts:
     binnings: Mapping[int, Mapping[str, Binning]]
     conditions: Mapping[int, int]
     rows: Mapping[int, int]
+    combinations: int
 
 
 def count_tables(
@@ -158,6 +162,7 @@ def count_tables(
         binnings,
         {s: sum(found[s][f"_{i}"] for i in range(len(features))) if s in found else 0 for s in sets},
         {s: found[s]["rows"] if s in found else 0 for s in sets},
+        combinations + counted.filter(F.col("_part") == TEST).count() if tests is not None else combinations,
     )
 
 
@@ -216,6 +221,10 @@ class Asker:
 
     def __init__(self, counts: Counts):
         self.counts = counts
+        self.table = None
+        if counts.combinations <= LOCAL_COMBINATIONS:
+            table = counts.frame.toArrow().combine_chunks()
+            self.table = table.to_batches()[0] if table.num_rows else None
         p1, n1 = F.col("gp"), F.col("gn")
         self.whole = F.col("feature").isNull()
         look = Window.partitionBy("look")
@@ -231,7 +240,27 @@ class Asker:
         ]
 
     def answer(self, looks: Sequence[Look]) -> list[Seen]:
-        """One job."""
+        return self.asked(looks) if self.table is None else self.read(looks)
+
+    def read(self, looks: Sequence[Look]) -> list[Seen]:
+        """From the table at hand."""
+        totals: dict[int, Tally] = {}
+        best: dict[int, tuple] = {}
+        for at, feature, label, *sums in count_looks(self.table, looks, self.counts.features):
+            if feature is None:
+                totals[at] = Tally(*sums)
+            elif sums[0] > 0:
+                whole = totals[at]
+                gain = sums[0] * (math.log2(sums[0] / (sums[0] + sums[1])) - math.log2(whole.grow_p / (whole.grow_p + whole.grow_n)))
+                rank = (-round(gain, 9), feature, label)
+                if at not in best or rank < best[at][0]:
+                    best[at] = rank, (feature, label, gain, Tally(*sums))
+        return [
+            Seen(totals.get(at, Tally(0, 0, 0, 0)), best[at][1] if at in best and best[at][1][2] > GAIN_FLOOR else None) for at in range(len(looks))
+        ]
+
+    def asked(self, looks: Sequence[Look]) -> list[Seen]:
+        """By one job."""
         features = self.counts.features
         kinds = (pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4)
         names = ["look", "feature", "label", *_SUMS]

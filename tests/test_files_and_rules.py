@@ -282,7 +282,9 @@ def noisy(spark, n=900):
     return rows, spark.createDataFrame(rows, "case_id string, knocked_out_case boolean, knockout_activity string, a string, b string, c string")
 
 
-def test_unlimited_irep_is_the_brute_force_one(spark):
+@pytest.mark.parametrize("local", [0, learn.LOCAL_COMBINATIONS])
+def test_unlimited_irep_is_the_brute_force_one(spark, monkeypatch, local):
+    monkeypatch.setattr(learn, "LOCAL_COMBINATIONS", local)
     rows, cases = noisy(spark)
     settings = learn.LearnSettings(prune_size=0.33)
     found = learn.learn_rules(cases, ["one", "two", "none"], ["a", "b", "c"], "IREP", settings)
@@ -293,6 +295,16 @@ def test_unlimited_irep_is_the_brute_force_one(spark):
     assert len(found["one"]) > 1
 
 
+def test_jobs_and_a_table_at_hand_give_the_same_rules(spark, monkeypatch):
+    cases = planted(spark, 900)
+    settings = learn.LearnSettings(max_rules=3, k=1)
+    found = []
+    for local in (0, learn.LOCAL_COMBINATIONS):
+        monkeypatch.setattr(learn, "LOCAL_COMBINATIONS", local)
+        found.append(learn.learn_rules(cases, ["amount", "kind"], ["amount", "kind", "risk"], "RIPPER", settings))
+    assert found[0] == found[1] and found[0]["amount"]
+
+
 @pytest.mark.parametrize("algorithm", ["IREP", "RIPPER"])
 def test_unlimited_learning_finds_planted_rules(spark, algorithm):
     cases = planted(spark, 2_000)
