@@ -10,6 +10,8 @@ The context: the pre-tokenizer looks ahead two characters after an apostrophe, o
 to the end of a run of spaces.  So reading starts again at a boundary two or more characters before
 the edit that no space precedes.
 
+The strings of special tokens count as ordinary text.
+
 Defined results: a null text is empty, null edits are none; edits apply one after the other, each to
 the text as it is then; places beyond the text mean its end, negative ones its start, a null insertion
 is empty; null ids and repeated rows are each returned; an empty table gives no rows.
@@ -227,7 +229,7 @@ def recount(docs: DataFrame, tokenizer: str, id_col: Column, text_col: Column, e
     kind = read.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, special=False)  # an edit may make or break such a string
         for batch in parts(batches, "text"):
             rows = []
             for text, edits in zip(batch["text"].to_pylist(), batch["edits"].to_pylist(), strict=True):

@@ -2,8 +2,9 @@
 
 The pre-tokenizer's rule is applied here for texts whose characters lie below U+0250, where its
 letter, number and space classes can be written out; each distinct pre-token is encoded by the
-tokenizer and kept.  Other texts are encoded by it as a whole.  Either way the ids are the
-tokenizer's own; the strings of special tokens in a text are ordinary text.
+tokenizer and kept.  Other texts, and those that hold the string of a special token, are encoded by it
+as a whole.  Either way the ids are the tokenizer's own; with ``special=False`` the strings of special
+tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -76,14 +77,16 @@ class _Kept(dict):
 class Encoder:
     """``bytes_of(text)``: the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise OSError("ids are kept as little-endian 32-bit integers")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = not special
+        added = [re.escape(token.content) for token in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added)) if special and added else None
         self._kept = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
@@ -95,7 +98,7 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of any text; added tokens in it are ordinary text."""
+        """The pre-tokens of any text; strings of special tokens in it are ordinary text."""
         pieces = pre_tokens(text)
         if pieces is None:
             found = self._tokenizer.pre_tokenizer.pre_tokenize_str(text)
@@ -108,21 +111,21 @@ class Encoder:
         return len(self._kept[piece]) // 4
 
     def bytes_of(self, text: str) -> bytes:
-        pieces = pre_tokens(text)
+        pieces = None if self._added and self._added.search(text) else pre_tokens(text)
         if pieces is None:
             return self.whole(text)
         self._kept.age()
         return b"".join(map(self._kept.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """The encoder of a worker process, made once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def default_vocabulary() -> str:

@@ -22,6 +22,7 @@ rows; only the named columns are read, and labels and ids are never inputs of a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections import Counter
@@ -52,8 +53,9 @@ _WORDS_KEPT = 150_000
 
 
 def terms_of(word: bytes) -> list[bytes]:
-    """A word and its beginnings, which end in a star."""
-    return [word[:_LONGEST_WORD], *(word[:n] + b"*" for n in _STARTS if len(word) >= n)]
+    """A word and its beginnings, which end in a star.  A long word stands as its hash."""
+    whole = word if len(word) <= _LONGEST_WORD else b"#" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+    return [whole, *(word[:n] + b"*" for n in _STARTS if len(word) >= n)]
 
 
 class _Numbers(dict):
@@ -92,8 +94,9 @@ class Terms:
 class Index:
     """Unit vectors of examples as postings by term, in blocks of ``BLOCK`` examples."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
+    def __init__(self, vectors: list[dict[int, float]], terms: int, rank: np.ndarray | None = None):
         self.size = len(vectors)
+        self.rank = np.arange(self.size) if rank is None else rank
         self.blocks = -(-self.size // BLOCK)
         postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
         for at, vector in enumerate(vectors):
@@ -113,7 +116,7 @@ class Index:
 
     def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples with a cosine above 0, nearest first,
-        then by place."""
+        then by rank."""
         bounds = np.zeros(self.blocks)
         for term, weight in vector.items():
             bounds += weight * self.most[term]
@@ -130,7 +133,7 @@ class Index:
             some = np.flatnonzero(scores > 0)
             places = np.concatenate((places, some + block * BLOCK))
             cosines = np.concatenate((cosines, np.round(scores[some], 12)))
-            order = np.lexsort((places, -cosines))[:k]
+            order = np.lexsort((self.rank[places], -cosines))[:k]
             places, cosines = places[order], cosines[order]
         return places, cosines
 
@@ -168,7 +171,10 @@ class Model:
         self.ids = [str(i) for _, i, _ in placed]
         self.labels = np.array([y for _, _, y in placed], np.float64)
         self.weights = np.array([self.class_weight[y] for _, _, y in placed])
-        self.index = Index([v for v, _, _ in placed], len(terms))
+        by_id = sorted(range(len(placed)), key=lambda p: (not isinstance(placed[p][1], int), placed[p][1] if isinstance(placed[p][1], int) else 0, self.ids[p]))
+        rank = np.empty(len(placed), np.int64)
+        rank[by_id] = np.arange(len(placed))
+        self.index = Index([v for v, _, _ in placed], len(terms), rank)
         aside = [(y, dict(zip(t, c, strict=True))) for _, y, aside, t, c in sorted(examples, key=lambda e: str(e[0])) if aside]
         weighed = [(y, self.class_weight[y]) for y, counts in aside if not counts]
         self.bare = sum(y * w for y, w in weighed) / sum(w for _, w in weighed) if weighed else 0.0

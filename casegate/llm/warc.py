@@ -7,7 +7,7 @@ digests of their own blocks.  Record ids follow from the response's id, so that
 makes the same records.
 
 Defined results: a null payload is empty, null headers are none, a null target URI leaves its lines
-out; a null record id is refused by no line but ``WARC-Refers-To``, which is left out; repeated rows
+out; rows that repeat a record id repeat those of its records; a null record id is refused by no line but ``WARC-Refers-To``, which is left out; repeated rows
 are each converted; an empty table gives no rows; only the named columns are read.
 """
 
@@ -41,15 +41,19 @@ _LEFT_OUT = re.compile(
     rf"<(?:!--.*?(?:-->|\Z)|{_HEAD}|(script|style|template|noscript)\b.*?(?:</\2\s*>|\Z))", re.S | re.I
 )
 _BREAK = re.compile(
-    r"\s*</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|t[drh]|title|ul)\b[^>]*>\s*",
+    r"\s*</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|t[drh]|title|ul)"
+    rf"(?=[\s/>]){ATTRIBUTES}>\s*",
     re.I,
 )
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
+_TAG = re.compile(rf"</?[a-zA-Z][^\s/>]*{ATTRIBUTES}(?:>|\Z)|<[/!?][^>]*(?:>|\Z)")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\n ]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ANCHOR = re.compile(rf"<a(?=[\s/])({ATTRIBUTES})(?:>|\Z)", re.I)
+# An attribute name begins after white space or a slash, so data-href and the insides of values do not count.
+_ATTRIBUTE = re.compile(r"""[^\s/>=][^\s/>=]*(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*))?)?""")
+_COMMENTS = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style|template|noscript|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
 
 
 def digest(block: bytes) -> str:
@@ -73,6 +77,16 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def links(payload: str) -> Iterator[str]:
+    """The ``href`` of every anchor that is not in a comment or a script."""
+    for anchor in _ANCHOR.finditer(_COMMENTS.sub(" ", payload)):
+        for found in _ATTRIBUTE.finditer(anchor[1]):
+            name, _, _ = found[0].partition("=")
+            if name.strip().lower() == "href" and "=" in found[0]:
+                yield next((value for value in found.groups() if value is not None), "")
+                break
+
+
 def metadata_block(uri: str | None, headers: str | None, payload: str, source_digest: str) -> bytes:
     """``application/warc-fields`` about the response."""
     lines = []
@@ -82,8 +96,8 @@ def metadata_block(uri: str | None, headers: str | None, payload: str, source_di
         lines.append(f"language: {language[1]}")
     lines += [f"source-payload-digest: {source_digest}", f"source-payload-length: {len(payload.encode())}"]
     lines += [f"source-header: {line.strip()}" for line in (headers or "").splitlines() if line.strip()]
-    for link in _LINK.findall(payload):
-        target = one_line(html.unescape("".join(link)))
+    for link in links(payload):
+        target = one_line(html.unescape(link))
         try:
             target = urljoin(uri or "", target)
         except ValueError:  # not a URL: as it stands

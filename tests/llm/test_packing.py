@@ -10,7 +10,6 @@ from casegate.llm.tokens import default_vocabulary, encoder
 from tests.llm.helpers import SF, clashing, documents
 
 PLAIN = Tokenizer.from_file(default_vocabulary())
-PLAIN.encode_special_tokens = True
 
 
 def plain_ids(text):

@@ -72,6 +72,53 @@ def test_scores_votes_and_edge_cases(spark):
     assert toxicity.score(documents(spark, []), model).count() == 0
 
 
+def test_long_words_are_told_apart():
+    a, b = b"x" * 40 + b"1", b"x" * 40 + b"2"
+    assert toxicity.terms_of(a)[0] != toxicity.terms_of(b)[0] and toxicity.terms_of(a)[1:] == toxicity.terms_of(b)[1:]
+    assert toxicity.terms_of(b"short")[0] == b"short"
+
+
+def test_equal_cosines_rank_by_id():
+    examples = [(i, 1, False, (0,), (1,)) for i in (12, 9, 100)] + [("b", 0, False, (0,), (1,)), ("a", 0, False, (0, 1), (1, 3))]
+    model = toxicity.Model([b"vile", b"other"], np.ones(2), examples, {0: 2, 1: 3})
+    places, _ = model.index.nearest(model.vector({0: 1}), 4)
+    assert [model.ids[p] for p in places] == ["9", "12", "100", "b"]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Scores from cosines to every example, votes and calibration, without the index."""
+    rows, labels = labelled(spark)
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, own = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(docs, own.where(~toxicity.held_out()))
+    vectors = [{} for _ in model.ids]
+    for term, (places, weights) in enumerate(zip(model.index.places, model.index.weights, strict=True)):
+        for place, weight in zip(places.tolist(), weights.tolist(), strict=True):
+            vectors[place][term] = weight
+    number = lambda i: (int(i), "") if i.lstrip("-").isdigit() else (math.inf, i)
+
+    def expected(text):
+        counts = model.terms.counts((text or "").encode())
+        if not counts:
+            return model.bare, []
+        query = model.vector(counts)
+        every = [(-round(sum(w * v.get(t, 0.0) for t, w in query.items()), 12), number(model.ids[p]), p) for p, v in enumerate(vectors)]
+        near = [(-c, p) for c, _, p in sorted(every) if c < 0][: toxicity.NEIGHBOURS]
+        if not near:
+            return model.bare, []
+        voices = [model.class_weight[int(model.labels[p])] / (1.05 - c) for c, p in near]
+        vote = sum(v * model.labels[p] for v, (_, p) in zip(voices, near, strict=True)) / (sum(voices) + model.class_weight[0] / 0.05)
+        return float(np.interp(vote, model.knots, model.values)), [model.ids[p] for _, p in near[:3]]
+
+    found = {}
+    for r in op5_toxicity(spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, (r.score, list(r.nearest)))
+    for key, text in rows:
+        score, nearest = expected(text)
+        assert found[key][0] == pytest.approx(score, abs=1e-9) and found[key][1] == nearest, key
+
+
 def test_without_labels_every_score_is_zero(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

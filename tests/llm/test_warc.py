@@ -83,6 +83,13 @@ def test_heads_end_at_what_cannot_stand_in_them():
     assert warc.plain_text("<header>a</header><p>b") == "a\nb"
 
 
+def test_quotes_hold_values_and_links_are_those_of_anchors():
+    assert warc.plain_text('<p title="x > y">Hello <b title=\'a>b\'>you</b><br title="1>0">z<i =">"/>') == "Hello you\nz\"/>"
+    page = """<!-- <a href=c1> --><script>'<a href=c2>'</script><a data-href=d1 title="href='d2'" href="r1">1</a>
+    <A\nHREF = 'r2'>2</A><a name=x>3</a><a href=r3/x>4</a><abbr href=no>5</abbr><a title=">" href=r4>6</a><a href>7</a><a href=''>8</a>"""
+    assert list(warc.links(page)) == ["r1", "r2", "r3/x", "r4", ""]
+
+
 def test_files_hold_the_records(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     made = warc.derivatives(warc.responses_of(pages), "page_id")
