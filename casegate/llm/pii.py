@@ -93,8 +93,13 @@ def _placed(kind: Kind) -> str:
 
 
 def _scored(kind: Kind, base: bool) -> str:
-    before = f"substring(text, greatest(s.start - {CONTEXT_REACH}, 0) + 1, least(s.start, {CONTEXT_REACH}))"
-    score = f"{kind.score}D + if({before} rlike '(?i)(?:{kind.context})', {CONTEXT_SCORE}D, 0D)"
+    # a character more on the far side tells whether a word is whole there
+    reach = CONTEXT_REACH + 1
+    before = f"if(s.start < {reach}, concat(' ', substring(text, 1, s.start)), substring(text, s.start - {reach} + 1, {reach}))"
+    after = f"concat(substring(text, s.end + 1, {reach}), if(length(text) - s.end < {reach}, ' ', ''))"
+    word = f"(?:{kind.context})s?"
+    near = f"{before} rlike '(?i)[^a-z]{word}(?:[^a-z]|\\\\z)' or {after} rlike '(?i)(?:^|[^a-z]){word}[^a-z]'"
+    score = f"{kind.score}D + if({near}, {CONTEXT_SCORE}D, 0D)"
     spans = f"transform(spans_{kind.name}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'hit', s.hit, 'score', {score}))"
     return spans if base else f"filter({spans}, s -> s.score >= {LEAST_SCORE}D)"
 

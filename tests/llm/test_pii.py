@@ -106,3 +106,21 @@ def test_redaction(spark):
         (5, "+[CARD] x", 9), (None, "[EMAIL]", 7),
     ], key=str)
     assert pii.redact(documents(spark, [])).count() == 0
+
+
+def test_context_is_whole_words_on_both_sides(spark):
+    number = "123-45-6789"
+    cases = [
+        (f"ssn {number}", True), (f"SSN: {number}", True), (f"{number} (social)", True), (f"{number}, my Identity.", True), (f"{number} security", True),
+        (f"lesson {number}", False), (f"ssnx {number}", False), (f"{number} antisocial", False), (f"{number} socialist", False), (number, False),
+        ("ssn" + " " * 37 + number, True), ("ssn" + " " * 38 + number, False), (number + " " * 34 + "social", True), (number + " " * 35 + "social", False),
+        ("xssn" + " " * 37 + number, False), (number + " " * 34 + "socialx", False), ("é ssn\n" + number, True),
+    ]
+    docs = documents(spark, [(i, text) for i, (text, _) in enumerate(cases)])
+    for r in pii.find(docs, docs["doc_id"], docs["text"]).collect():
+        assert (len(r.added) == 1) == cases[r.kept][1], cases[r.kept]
+    # words in which a context word only occurs do not lift a score
+    texts = ["monkey 10.0.0.1", "ship 10.0.0.1", "the host is 10.0.0.1", "10.0.0.1 is its address"]
+    docs = documents(spark, list(enumerate(texts)))
+    scores = {r.kept: round(r.base[0].score, 6) for r in pii.find(docs, docs["doc_id"], docs["text"]).collect()}
+    assert scores == {0: 0.6, 1: 0.6, 2: 0.8, 3: 0.8}
