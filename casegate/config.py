@@ -1,4 +1,4 @@
-"""Settings of an analysis."""
+"""Settings of an analysis.  The field names are fixed values: the format of configuration files."""
 
 from __future__ import annotations
 

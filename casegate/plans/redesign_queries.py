@@ -51,9 +51,9 @@ def f5(spark, folder):
 
 @register("k9_dependency_report", with_parts("""
 SELECT unnest(['Check Balance', 'Check Price', 'Check Priority']) AS ko_activity,
-       unnest(['''c_acctbal'' available after activity ''' || (SELECT arg_min(producer, (-n, producer))
+       unnest(['''c_acctbal'' is known once this is done: ''' || (SELECT arg_min(producer, (-n, producer))
           FROM (SELECT producer, count(*) AS n FROM oprod WHERE ko_activity = 'Check Balance' GROUP BY 1)) || '''',
-          'required attributes are available from the start.', 'required attributes are available from the start.']) AS dependencies"""))
+          'needs nothing that is not known at the start', 'needs nothing that is not known at the start']) AS dependencies"""))
 def k9(spark, folder):
     data = orders_labelled(spark, folder)
     features = spark.createDataFrame([("Check Balance", "c_acctbal")], f"{KO_KEY} string, feature string")

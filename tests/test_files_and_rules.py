@@ -153,7 +153,7 @@ def test_full_analysis_on_orders(spark, folder):
         assert then["available_cases"] == now["available_cases"] - now["knocked_out_cases"]
     assert {c.feature for c in result.rulesets["Check Balance"][0]} == {"c_acctbal"}
     needs = {r["ko_activity"]: r["dependencies"] for r in result.redesign["dependencies"].collect()}
-    assert needs["Check Balance"] == "'c_acctbal' available after activity 'Load account'"
+    assert needs["Check Balance"] == "'c_acctbal' is known once this is done: 'Load account'"
     assert result.redesign["rule_change_report"].count() == sum(bool(r) for r in result.rulesets.values())
     assert result.warnings.count() >= 1
     write_report(result.report, f"{folder}/report")
