@@ -62,6 +62,11 @@ class AnalysisConfig:
     n_discretize_bins: int = 10
     dl_allowance: float = 1
     prune_size: float = 0.8
+    #: Depth (up to 16) and number of the teacher's trees, for CATBOOST-RIPPER.
+    teacher_depth: int = 5
+    teacher_iterations: int = 10
+    #: Folds that rules are learnt again for, to measure their ROC area; 0: the held-out cases alone.
+    roc_folds: int = 0
     skip_temporal_holdout: bool = False
     balance_classes: bool = False
     custom_log_preprocessing_function: str | Callable[[DataFrame], DataFrame] | None = None

@@ -28,6 +28,7 @@ from casegate.operators.casetable import numeric_columns
 from casegate.operators.roc import score_area
 from casegate.operators.rules import Rule
 from casegate.operators.splits import shuffled
+from casegate.operators.targets import CodedEstimator
 from casegate.schema import KO
 
 Pairs = tuple[tuple[str, str], ...]  # (attribute, bin label), a rule while it grows
@@ -40,6 +41,10 @@ COMBINATIONS_PER_TASK = 100_000
 LOCAL_COMBINATIONS = 100_000
 #: The part of rows that are only scored.
 TEST = -1
+#: The teacher: values an attribute may have as an index, bins of its trees, their depth.
+INDEXED_VALUES = 32
+TREE_BINS = 256
+DEEPEST = 16
 
 
 @dataclass(frozen=True)
@@ -533,28 +538,31 @@ class Teacher:
 
 
 def boosted_trees(features: Sequence[str], train: DataFrame, iterations: int = 10, depth: int = 5):
-    """An unfitted boosted-tree pipeline over mixed attributes; label in ``_y``.  The trees' bins hold
-    the values of the richest attribute, however many they are."""
+    """An unfitted boosted-tree pipeline over mixed attributes; label in ``_y``.  ``depth`` is 1 to 16.
+
+    Attributes of at most ``INDEXED_VALUES`` values are value indexes, richer ones ordered target
+    statistics, so the trees' bins do not grow with the values.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    if not 1 <= depth <= DEEPEST or iterations < 1:
+        raise RuleLearningError(f"a teacher has a depth of 1 to {DEEPEST} and at least one tree")
     numeric = numeric_columns(train, features)
     other = [c for c in features if c not in numeric]
+    values = train.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in other]).first() if other else []
+    indexed = [c for c, n in zip(other, values, strict=True) if n <= INDEXED_VALUES]
+    rich = [c for c in other if c not in indexed]
     stages = []
-    inputs = list(numeric)
-    values = train.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in other]).first() if other else [0]
-    if other:
-        codes = [f"_code_{i}" for i in range(len(other))]
-        stages.append(StringIndexer(inputCols=other, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        inputs += codes
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    stages.append(
-        GBTClassifier(
-            featuresCol="_features", labelCol="_y", maxIter=iterations, maxDepth=depth, maxBins=max(256, max(values) + 1), seed=0
-        )
-    )
-    return Pipeline(stages=stages), numeric + other
+    codes = [f"_code_{i}" for i in range(len(indexed))]
+    shares = [f"_share_{i}" for i in range(len(rich))]
+    if indexed:
+        stages.append(StringIndexer(inputCols=indexed, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"))
+    stages.append(VectorAssembler(inputCols=[*numeric, *codes, *shares], outputCol="_features"))
+    stages.append(GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=iterations, maxDepth=depth, maxBins=TREE_BINS, seed=0))
+    pipeline = Pipeline(stages=stages)
+    return (CodedEstimator(pipeline, rich, shares) if rich else pipeline), numeric + indexed + rich
 
 
 def surrogate_rules(

@@ -243,14 +243,30 @@ def holdout_quality(test: DataFrame, rulesets: Rulesets) -> DataFrame:
     )
 
 
+def settings_text(settings: Mapping[str, object]) -> str:
+    """Settings by name, those without a value left out."""
+    return ", ".join(f"{name}={value}" for name, value in sorted(settings.items()) if value is not None)
+
+
 def rule_metrics(
-    cases: DataFrame, test: DataFrame, rulesets: Rulesets, available: DataFrame, scope: str = "all"
+    cases: DataFrame,
+    test: DataFrame,
+    rulesets: Rulesets,
+    available: DataFrame,
+    scope: str = "all",
+    settings: Mapping[str, Mapping[str, object]] | None = None,
+    areas: DataFrame | None = None,
 ) -> DataFrame:
     """Metrics table per check.  Support and confidence use all cases, or with
-    ``scope="test"`` the held-out ones only."""
+    ``scope="test"`` the held-out ones only.
+
+    ``settings``: what each check was learnt with, told as ``parameters``.  ``areas`` (``mean_auc,
+    std_auc`` per check, from folds): ``roc_auc`` is the mean of the folds instead of the held-out
+    cases' area, with its spread as ``roc_auc_std``.
+    """
     spark = cases.sparkSession
     counts = rule_counts(rules_table(spark, rulesets))
-    return (
+    table = (
         names_frame(spark, sorted(rulesets), KO_KEY)
         .join(support_and_confidence(test if scope == "test" else cases, rulesets, available), KO_KEY, "left")
         .join(
@@ -259,6 +275,13 @@ def rule_metrics(
         .join(counts, KO_KEY, "left")
         .fillna(0, ["rule_count", "condition_count"])
     )
+    if areas is not None:
+        folds = areas.select(KO_KEY, F.col("mean_auc").alias("_mean"), F.col("std_auc").alias("roc_auc_std"))
+        table = table.join(folds, KO_KEY, "left").withColumn("roc_auc", F.col("_mean")).drop("_mean")
+    if settings is not None:
+        told = [(ko, settings_text(settings[ko])) for ko in sorted(rulesets) if ko in settings]
+        table = table.join(spark.createDataFrame(told, f"{KO_KEY} string, parameters string"), KO_KEY, "left")
+    return table
 
 
 def low_confidence(metrics: DataFrame, threshold: float, support: float | None = None) -> DataFrame:

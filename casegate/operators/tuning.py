@@ -9,10 +9,9 @@ from dataclasses import fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegate.lineage import write_table
-from casegate.operators.learn import LEARNERS, Learner, LearnSettings, ask_all, count_tables
-from casegate.operators.splits import stratified_folds, time_folds
-from casegate.schema import CASE, KO, KO_KEY
+from casegate.operators.learn import LearnSettings
+from casegate.operators.refit import refits
+from casegate.schema import KO_KEY
 
 # What is tried when no grid is given.
 DEFAULT_GRIDS = {
@@ -48,38 +47,14 @@ def grid_scores(
     """Mean score of each check and setting over folds.
 
     Time-aware: three expanding folds and F1.  Otherwise five stratified folds and balanced accuracy.
-    A fold without any case of a class scores 0.  Every fold is binned by its own training cases; all
-    checks, folds and settings learn in lock step from one count table, which also holds the cases
-    that are scored.
+    A fold without any case of a class scores 0.
     """
-    folds = (
-        time_folds(cases, TIME_FOLDS) if time_aware else stratified_folds(cases, RANDOM_FOLDS, F.col(KO))
-    )
-    folds = write_table(folds.select(CASE, KO, "fold", *[F.col(f"`{c}`") for c in features]))
     choices = [replace(settings, **c) for c in combinations(grid or DEFAULT_GRIDS[algorithm], algorithm)]
-    sets, tests, number = {}, {}, {}
-    for fold in range(1, (TIME_FOLDS if time_aware else RANDOM_FOLDS) + 1):
-        inside = F.col("fold") < fold if time_aware else F.col("fold") != fold
-        for bins in sorted({c.n_discretize_bins for c in choices}):
-            at = number[fold, bins] = len(number)
-            sets[at] = folds.filter(inside), bins
-            tests[at] = folds.filter(F.col("fold") == fold)
-    counts = count_tables(sets, features, [c.prune_size for c in choices], settings.seed, tests)
-    learners, tried = [], []
-    for choice in choices:
-        for (fold, bins), at in number.items():
-            if bins == choice.n_discretize_bins:
-                for ko in kos:
-                    learners.append(Learner(counts, at, ko, choice))
-                    tried.append((ko, choice))
-    found = ask_all(counts, [LEARNERS[algorithm](one) for one in learners])
-    looks = [one.look(rules, test=True) for one, rules in zip(learners, found, strict=True) for rules in ([], rules)]
-    seen = ask_all(counts, [asking(looks)])[0]
+    tasks = [(ko, choice) for choice in choices for ko in kos]
     scores: dict[tuple, list[float]] = {}
-    for (ko, choice), every, left in zip(tried, seen[::2], seen[1::2], strict=True):
-        fn, tn = left.counts.p, left.counts.n
-        tp, fp = every.counts.p - fn, every.counts.n - tn
-        scores.setdefault((ko, choice), []).append(f1(tp, fp, fn) if time_aware else balanced(tp, fp, fn, tn))
+    for one in refits(cases, tasks, features, algorithm, TIME_FOLDS if time_aware else RANDOM_FOLDS, time_aware):
+        score = f1(one.tp, one.fp, one.fn) if time_aware else balanced(one.tp, one.fp, one.fn, one.tn)
+        scores.setdefault((one.ko, one.settings), []).append(score)
     names = [f.name for f in fields(LearnSettings) if f.name in (grid or DEFAULT_GRIDS[algorithm])]
     names = [n for n in names if n in combinations(grid or DEFAULT_GRIDS[algorithm], algorithm)[0]]
     kinds = {"prune_size": "double", "dl_allowance": "double"}
@@ -91,11 +66,6 @@ def grid_scores(
     return cases.sparkSession.createDataFrame(rows, f"{KO_KEY} string, {schema}{', ' if schema else ''}mean_score double")
 
 
-def asking(looks):
-    """Only looks, all at once."""
-    return (yield looks)
-
-
 def f1(tp: int, fp: int, fn: int) -> float:
     return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ from casegate.operators.casetable import case_table, rule_attributes
 from casegate.operators.discovery import discover
 from casegate.operators.enrich import PREPROCESSORS
 from casegate.operators.labels import check_labels, label, label_log
-from casegate.operators.learn import LearnSettings, Teacher, learn_rules, surrogate_rules
+from casegate.operators.learn import LearnSettings, Teacher, boosted_trees, learn_rules, surrogate_rules
 from casegate.operators.metrics import available_cases, efforts, report
+from casegate.operators.refit import refit_areas
 from casegate.operators.rules import (
     Rulesets,
     confidence_warnings,
@@ -145,14 +147,23 @@ class Analysis:
                 rulesets |= self.fit(train, group, features, algorithm, tried, teachers, test)
         return rulesets, chosen, teachers, test
 
-    @staticmethod
-    def fit(train, kos, features, algorithm, settings, teachers, test):
+    def fit(self, train, kos, features, algorithm, settings, teachers, test):
         if algorithm == "CATBOOST-RIPPER":
-            found, fitted = surrogate_rules(train, kos, features, settings, test=test)
+            config = self.config
+            teacher = partial(boosted_trees, iterations=config.teacher_iterations, depth=config.teacher_depth)
+            found, fitted = surrogate_rules(train, kos, features, settings, teacher, test)
             teachers |= fitted
             return found
         return learn_rules(train, kos, features, algorithm, settings)
 
+    def areas(self, cases: DataFrame, chosen: Mapping[str, LearnSettings], features: list[str]) -> DataFrame | None:
+        """ROC areas of rules learnt again per fold (a teacher's rules: from the labels themselves)."""
+        config = self.config
+        if not config.roc_folds:
+            return None
+        base = "IREP" if config.rule_discovery_algorithm == "IREP" else "RIPPER"
+        return refit_areas(cases, chosen, features, base, config.roc_folds, not config.skip_temporal_holdout)
+
     def run(self, log: DataFrame) -> Result:
         """Analyse a canonical log with boundary events."""
         config = self.config
@@ -173,7 +184,14 @@ class Analysis:
         features = rule_attributes(cases.columns, *wanted)
         rulesets, chosen, teachers, test = self.learn(cases, kos, features)
         measures = write_table(
-            rule_metrics(cases, test, rulesets, available_cases(labelled, kos))
+            rule_metrics(
+                cases,
+                test,
+                rulesets,
+                available_cases(labelled, kos),
+                settings={ko: asdict(own) for ko, own in chosen.items()},
+                areas=self.areas(cases, chosen, features),
+            )
         )
         low_rules = confidence_warnings(measures, config.confidence_threshold)
         if config.drop_low_confidence_rules:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from casegate.functions import stats
 from casegate.functions.bins import quantile_edges
 from casegate.functions.text import percent
 from casegate.lineage import write_table
-from casegate.operators import casetable, learn, metrics, roc, rules, splits
+from casegate.operators import casetable, learn, metrics, refit, roc, rules, splits, targets
 from casegate.operators.rules import Condition
 from casegate.plans.log_queries import day_variant_rows, rounded
 from casegate.plans.oracles import PARTS, with_parts
@@ -516,6 +519,40 @@ def j7_areas(spark, folder):
     return spark.createDataFrame(rows, f"{KO_KEY} string, auc double, first_attribute string")
 
 
+def customer_cases(spark, folder):
+    """Cases with the customer as an attribute of very many values."""
+    orders_of = spark.read.parquet(f"{folder}/orders.parquet")
+    customers = orders_of.select(F.col("o_orderkey").cast("string").alias(CASE), F.col("o_custkey").cast("string").alias("customer"))
+    return order_cases(spark, folder).join(customers, CASE)
+
+
+@register("j7_target_statistics", with_parts("""
+SELECT case_id, round((coalesce(sum(y) OVER before, 0) + prior) / (coalesce(count(*) OVER before, 0) + 1), 6) AS ordered_share,
+       round((sum(y) OVER (PARTITION BY customer) + prior) / (count(*) OVER (PARTITION BY customer) + 1), 6) AS share
+FROM (SELECT c.case_id, o.o_custkey AS customer, CAST('0x' || md5(c.case_id || '|0')[1:6] AS BIGINT) % 64 AS block,
+             CAST(coalesce(c.knockout_activity = 'Check Balance', false) AS INTEGER) AS y, avg(CAST(coalesce(
+               c.knockout_activity = 'Check Balance', false) AS INTEGER)) OVER () AS prior
+      FROM ocases c JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = c.case_id)
+WINDOW before AS (PARTITION BY customer ORDER BY block RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)"""))
+def j7_statistics(spark, folder):
+    """The customer as the teacher sees it: while it trains, and afterwards."""
+    cases = write_table(customer_cases(spark, folder)).withColumn("_y", F.col(KO).eqNullSafe("Check Balance").cast("double"))
+    codes = targets.target_codes(cases, ["customer"])
+    found = codes.coded(codes.coded(cases, ["ordered_share"], ordered=True), ["share"], ordered=False)
+    return rounded(found.select(CASE, "ordered_share", "share"), "ordered_share", "share")
+
+
+@register("j7_teacher_of_customers")
+def j7_customers(spark, folder):
+    """Areas of teachers that also read the customer, over deeper trees."""
+    split = write_table(splits.temporal_holdout(customer_cases(spark, folder)))
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
+    teacher = partial(learn.boosted_trees, depth=8)
+    fitted = {ko: learn.fit_teacher(train, ko, ["customer", "o_orderpriority"], teacher, test) for ko in sorted(FIXED_RULES)}
+    rows = [(ko, one.auc, max(one.importances, key=one.importances.get)) for ko, one in fitted.items()]
+    return spark.createDataFrame(rows, f"{KO_KEY} string, auc double, first_attribute string")
+
+
 @register("j8_grid_search")
 def j8(spark, folder):
     """The default grid of IREP: every check, fold and setting."""
@@ -524,6 +561,115 @@ def j8(spark, folder):
     return grid_scores(order_cases(spark, folder), sorted(FIXED_RULES), FEATURES, "IREP")
 
 
+# --- refits per fold -----------------------------------------------------------------------------
+
+#: One rule of one condition: SQL can learn it as well, for every fold anew.
+ONE_CONDITION = learn.LearnSettings(max_rules=1, max_rule_conds=1, prune_size=0.0)
+
+PARTS["rtrain"] = """
+SELECT t.fold, f.case_id, f.knockout_activity, f.c_acctbal, f.o_totalprice, f.o_orderpriority
+FROM (SELECT unnest(range(1, 6)) AS fold) t JOIN ofolds f ON f.fold < t.fold"""
+
+PARTS["redges"] = """
+SELECT DISTINCT fold, feature, x FROM (
+  SELECT fold, 'c_acctbal' AS feature, c_acctbal AS x, row_number() OVER (PARTITION BY fold ORDER BY c_acctbal) AS rn,
+         count(*) OVER (PARTITION BY fold) AS n FROM rtrain
+  UNION ALL
+  SELECT fold, 'o_totalprice', o_totalprice, row_number() OVER (PARTITION BY fold ORDER BY o_totalprice),
+         count(*) OVER (PARTITION BY fold) FROM rtrain), (SELECT unnest(range(1, 10)) AS i) WHERE rn = (i * n + 9) // 10"""
+
+PARTS["rlists"] = "SELECT fold, feature, list(x) AS edges FROM redges GROUP BY 1, 2"
+
+PARTS["rbinned"] = """
+SELECT fold, knockout_activity, 'o_orderpriority' AS feature, o_orderpriority AS label FROM rtrain
+UNION ALL
+SELECT r.fold, r.knockout_activity, e.feature,
+       CAST(len(list_filter(e.edges, lambda x: CASE e.feature WHEN 'c_acctbal' THEN r.c_acctbal ELSE r.o_totalprice END >= x)) AS VARCHAR)
+FROM rtrain r JOIN rlists e ON e.fold = r.fold"""
+
+PARTS["rbest"] = """
+SELECT fold, ko_activity, feature, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold, ko_activity ORDER BY round(gain, 9) DESC, feature, label) AS r FROM (
+    SELECT g.*, p * (log2(p / c) - log2(t.p0 / t.c0)) AS gain FROM
+      (SELECT fold, ko_activity, feature, label, count(*) AS c,
+              count(*) FILTER (knockout_activity IS NOT DISTINCT FROM ko_activity) AS p FROM rbinned, okos GROUP BY 1, 2, 3, 4) g
+    JOIN (SELECT fold, ko_activity, count(*) FILTER (knockout_activity = ko_activity) AS p0, count(*) AS c0
+          FROM rtrain, okos GROUP BY 1, 2) t ON t.fold = g.fold AND t.ko_activity = g.ko_activity
+    WHERE p > 0)) WHERE r = 1 AND gain > 1e-9"""
+
+PARTS["rrates"] = """
+SELECT *, tp / nullif(tp + fn, 0) AS tpr, fp / nullif(fp + tn, 0) AS fpr FROM (
+  SELECT ko_activity, fold, count(*) FILTER (hit AND is_ko) AS tp, count(*) FILTER (hit AND NOT is_ko) AS fp,
+         count(*) FILTER (NOT hit AND is_ko) AS fn, count(*) FILTER (NOT hit AND NOT is_ko) AS tn
+  FROM (SELECT k.ko_activity, f.fold, coalesce(f.knockout_activity = k.ko_activity, false) AS is_ko,
+               coalesce(b.label = CASE b.feature WHEN 'o_orderpriority' THEN f.o_orderpriority ELSE CAST(len(list_filter(e.edges,
+                 lambda x: CASE b.feature WHEN 'c_acctbal' THEN f.c_acctbal ELSE f.o_totalprice END >= x)) AS VARCHAR) END, false) AS hit
+        FROM ofolds f CROSS JOIN okos k LEFT JOIN rbest b ON b.fold = f.fold AND b.ko_activity = k.ko_activity
+        LEFT JOIN rlists e ON e.fold = b.fold AND e.feature = b.feature WHERE f.fold > 0) GROUP BY 1, 2)"""
+
+PARTS["rareas"] = PARTS["ocurve"].replace("ofoldrates", "rrates")
+
+
+def refitted(spark, folder, settings=ONE_CONDITION):
+    cases = order_cases(spark, folder)
+    return refit.refits(cases, [(ko, settings) for ko in sorted(FIXED_RULES)], FEATURES, "IREP")
+
+
+@register("d16_refit_rates_by_folds", with_parts("""
+SELECT ko_activity, CAST(fold AS INTEGER) AS fold, tp, fp, fn, tn, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+       round(coalesce((1 + tpr - fpr) / 2, 0), 6) AS auc FROM rrates"""))
+def d16_refit(spark, folder):
+    """Rules of one condition, learnt for every fold from the cases before it."""
+    counts = refit.refit_counts(spark, refitted(spark, folder))
+    return rounded(roc.fold_rates(counts), "tpr", "fpr", "auc")
+
+
+@register("d16_refit_rules_by_folds", with_parts("""
+SELECT b.ko_activity, CAST(b.fold AS INTEGER) AS fold, b.feature,
+       CASE WHEN b.feature = 'o_orderpriority' THEN b.label END AS value,
+       CASE WHEN b.feature <> 'o_orderpriority' THEN list_sort(e.edges)[TRY_CAST(b.label AS BIGINT)] END AS lo,
+       CASE WHEN b.feature <> 'o_orderpriority' THEN list_sort(e.edges)[TRY_CAST(b.label AS BIGINT) + 1] END AS hi
+FROM rbest b LEFT JOIN rlists e ON e.fold = b.fold AND e.feature = b.feature"""))
+def d16_refit_rules(spark, folder):
+    rows = [
+        (one.ko, one.fold, c.feature, c.value, c.lo, c.hi)
+        for one in refitted(spark, folder) for rule in one.rules for c in rule
+    ]
+    return spark.createDataFrame(rows, f"{KO_KEY} string, fold int, feature string, value string, lo double, hi double")
+
+
+@register("d16_refit_areas")
+def d16_refit_areas(spark, folder):
+    """The same with the configuration's own settings: no limit on rules or conditions."""
+    counts = refit.refit_counts(spark, refitted(spark, folder, learn.LearnSettings()))
+    return rounded(roc.mean_area(roc.fold_rates(counts)), "mean_auc", "std_auc")
+
+
+@register("j11_metrics_of_refits", with_parts(f"""
+SELECT m.ko_activity, m.support, m.confidence, q.precision, q.recall, q.f1_score, round(a.mean_auc, 6) AS roc_auc,
+       round(s.std_auc, 6) AS roc_auc_std, CASE m.ko_activity WHEN 'Check Balance' THEN 2 ELSE 1 END AS rule_count,
+       CASE m.ko_activity WHEN 'Check Price' THEN 1 ELSE 2 END AS condition_count,
+       'dl_allowance=1, k=2, max_rule_conds=1, max_rules=1, n_discretize_bins=10, prune_size=0.0, seed=0' AS parameters
+FROM ({MEASURES}) m JOIN ({QUALITY}) q ON q.ko_activity = m.ko_activity
+JOIN (SELECT l.ko_activity, sum((l.mean_tpr + r.mean_tpr) / 2 / 99) AS mean_auc
+      FROM rareas l JOIN rareas r ON r.ko_activity = l.ko_activity AND r.point = l.point + 1 GROUP BY 1) a
+  ON a.ko_activity = m.ko_activity
+JOIN (SELECT ko_activity, stddev_pop(coalesce((1 + tpr - fpr) / 2, 0)) AS std_auc FROM rrates GROUP BY 1) s
+  ON s.ko_activity = m.ko_activity"""))
+def j11_refits(spark, folder):
+    """The metrics table with the parameters of each check and areas from folds."""
+    cases = write_table(order_cases(spark, folder))
+    split = splits.temporal_holdout(cases)
+    chosen = {ko: ONE_CONDITION for ko in FIXED_RULES}
+    table = rules.rule_metrics(
+        split, split.filter("is_test"), FIXED_RULES, available(spark, folder),
+        settings={ko: asdict(own) for ko, own in chosen.items()},
+        areas=refit.refit_areas(cases, chosen, FEATURES, "IREP"),
+    )
+    table = rounded(table, "support", "confidence", "precision", "recall", "f1_score", "roc_auc", "roc_auc_std")
+    return table.drop("predicted", "predicted_true")
+
+
 # --- variant comparison -------------------------------------------------------------------------
 
 @register("c7_transition_difference", with_parts("""
