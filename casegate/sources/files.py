@@ -28,6 +28,7 @@ from casegate.operators.prepare import (
     to_intervals,
 )
 from casegate.schema import ACTIVITY, CASE, END_TS, RESOURCE, SEQ, START_TS, utc
+from casegate.sources.quoted import read_quoted_csv
 
 # Typed attribute tags of the XES format and the Spark types.
 XES_TYPES = {"string": "string", "date": "string", "int": "bigint", "float": "double", "boolean": "boolean"}
@@ -144,10 +145,29 @@ def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
 def from_simulator(spark: SparkSession, path: str) -> bool:
     """Whether the log names the simulator as its source; asked only of logs with element ids."""
     if extension(path) == ".zip":
-        return False
+        return archived_simulator(spark, path)
     return not spark.read.text(path).filter(F.col("value").contains(SIMULATOR)).isEmpty()
 
 
+def archived_simulator(spark: SparkSession, path: str) -> bool:
+    """The same for logs in zip archives, read a line at a time."""
+
+    def look(batches):
+        import pandas as pd
+
+        wanted = SIMULATOR.encode()
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if name.lower().endswith(".xes"):
+                            with archive.open(name) as member:
+                                yield pd.DataFrame({"named": [any(wanted in line for line in member)]})
+
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    return not archives.mapInPandas(look, "named boolean").filter("named").isEmpty()
+
+
 def zone_free(text: Column) -> Column:
     """The wall-clock time written in a timestamp text; its zone is left out.  Other texts raise."""
     local = F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")
@@ -204,11 +224,13 @@ def zipped_csv_rows(spark: SparkSession, path: str) -> DataFrame:
 def read_csv_rows(spark: SparkSession, path: str, split_lines: bool = False) -> DataFrame:
     """CSV rows as text columns; ``.gz`` by extension, ``.zip`` unpacked in tasks.
 
-    Quoted fields may hold line breaks, so a file is read by one task unless ``split_lines`` says that
-    each row is one line.
+    Quoted fields may hold line breaks: files are split for many tasks and cut at the ends of rows
+    (which numbers them as ``seq``), unless ``split_lines`` says that each row is one line.
     """
     if extension(path) != ".zip":
-        return spark.read.option("header", True).option("escape", '"').option("multiLine", not split_lines).csv(path)
+        if not split_lines:
+            return read_quoted_csv(spark, path, SEQ)
+        return spark.read.option("header", True).option("escape", '"').csv(path)
     rows = zipped_csv_rows(spark, path)
     headers = rows.select("header").distinct().collect()  # one row a kind of file
     columns = list(dict.fromkeys(c for r in sorted(headers, key=lambda r: r["header"]) for c in r["header"]))
