@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from casegate.errors import NoActivitiesError
 from casegate.functions.text import hms, percent
 from casegate.operators.names import keep_names, names_frame
+from casegate.operators.ordered import ordered_totals
 from casegate.operators.waiting import waiting_time_waste
 from casegate.schema import (
     ACTIVITY,
@@ -247,21 +248,24 @@ def case_processing_times(log: DataFrame) -> DataFrame:
 
 
 def processing_time_distribution(by_case: DataFrame) -> DataFrame:
-    """Minimum, quartiles and maximum of processing time per label.
+    """Minimum, quartiles and maximum of processing time per label, linear between cases.
 
-    Times are counted first: the percentile then works on distinct values.
+    Times are counted and their counts summed along a range-partitioned order: the case at a place is the
+    first time whose running count exceeds it.  No task holds the times of a label.
     """
-    counted = by_case.groupBy("outcome_label", "processing_us").agg(F.count(F.lit(1)).alias("_n"))
-    quantiles = F.percentile("processing_us", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("_n"))
-    return (
-        counted.groupBy("outcome_label")
-        .agg(F.sum("_n").alias("cases"), quantiles.alias("_q"))
-        .select(
-            "outcome_label",
-            "cases",
-            *[F.col("_q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))],
-        )
-    )
+    counted = by_case.groupBy(F.struct("outcome_label").alias("_key"), "processing_us").agg(F.count(F.lit(1)).alias("_n"))
+    timed = F.when(F.col("processing_us").isNotNull(), F.col("_n"))
+    sizes = counted.groupBy("_key").agg(F.sum("_n").alias("cases"), F.sum(timed).alias("_timed"))
+    placed = ordered_totals(counted.filter(F.col("processing_us").isNotNull()), ["processing_us"], {"_reached": "_n"}, by=["_key"])
+    found = []
+    for share, name in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high")):
+        place = share * (F.col("_timed") - 1)
+        before, after = (F.min(F.when(F.col("_reached") > at, F.col("processing_us"))) for at in (F.floor(place), F.ceil(place)))
+        part = F.first(place - F.floor(place))
+        found.append((before * (1 - part) + after * part).alias(name))
+    quantiles = placed.join(sizes.select("_key", "_timed"), "_key").groupBy("_key").agg(*found)
+    names = ["low", "q1", "median", "q3", "high"]
+    return sizes.join(quantiles, "_key", "left").select("_key.outcome_label", "cases", *names)
 
 
 def outcome_counts(by_case: DataFrame) -> DataFrame:
