@@ -8,7 +8,6 @@ ends of its rows.  A row that runs over a split's end is put together from its p
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,22 +185,15 @@ def csv_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.trim(F.regexp_replace("text", r"[\r\t]", "")) != ""), states
 
 
-def header_names(text: str) -> list[str]:
-    """Column names of a header row: empty ones by number, repeated ones with their number."""
-    names = next(csv.reader([text.removeprefix("﻿").rstrip("\r")]), [])
-    folded = [n.lower() for n in names]
-    return [f"_c{i}" if not n else f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(names)]
-
-
 def read_quoted_csv(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
-    """Rows of CSV files as text columns.  The names are those of the first file, by path; the first row
+    """Rows of CSV files as text columns.  The names are those of one file; the first row
     of every file is its header.  ``order`` names a column of numbers in reading order, unique over up
     to 2^20 files of 2^43 bytes each."""
-    texts, splits = csv_texts(spark, path)
-    first = texts.filter("at = 0").orderBy("file").first()
-    if first is None:
+    # Only the first row of one file is read for the names.
+    names = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).columns
+    if not names:
         raise ValueError(f"no header: {path}")
-    names = header_names(first["text"])
+    texts, splits = csv_texts(spark, path)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
     text = F.regexp_replace("text", r"\r$", "")

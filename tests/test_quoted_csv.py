@@ -8,7 +8,7 @@ import pytest
 
 from casegate.operators.prepare import add_boundaries
 from casegate.sources.files import read_csv
-from casegate.sources.quoted import ends_open, header_names, read_quoted_csv
+from casegate.sources.quoted import ends_open, read_quoted_csv
 
 NOTES = ["plain", "a, b", "line\nbreak", 'say "x"', ",", ' "lead', '5" pipe', 'many\n\n"quotes",\n"and",commas,"\n', "", "ü" * 30, "w" * 400 + "\n" * 5]
 
@@ -73,7 +73,10 @@ def test_open_fields_empty_files_and_headers(spark, split_size):
     with open(f"{folder}/head.csv", "w") as out:
         out.write("id,note\n")
     assert read_quoted_csv(spark, f"{folder}/head.csv").count() == 0
-    assert header_names("﻿id,,Note,note\r") == ["id", "_c1", "Note2", "note3"]
+    with open(f"{folder}/names.csv", "w") as out:
+        out.write("\ufeffid,,Note,note\n1,2,3,4\n")
+    found = read_quoted_csv(spark, f"{folder}/names.csv")
+    assert found.columns == ["id", "_c1", "Note2", "note3"] and tuple(found.first()) == ("1", "2", "3", "4")
 
 
 def test_lines_end_inside_quotes_or_not():
