@@ -71,6 +71,17 @@ def test_xes_round_trip(spark, folder):
     )
 
 
+def test_xes_files_are_parsed_once(spark, folder):
+    times = ['<date key="time:timestamp" value="2022-01-01T0%d:00:00"/>' % i for i in (1, 2)]
+    body = '<string key="concept:name" value="Pay"/><string key="note" value="old"/><int key="n" value="7"/>'
+    events = [f'<event>{body}<string key="note" value="new"/>{times[0]}</event>', f'<event><string key="concept:name" value="End it"/>{times[1]}</event>']
+    with open(f"{folder}/once.xes", "w") as out:
+        out.write(f'<log><trace><string key="concept:name" value="c"/>{"".join(events)}</trace></log>')
+    back = read_xes(spark, f"{folder}/once.xes")
+    assert not any("once.xes" in file for file in back.inputFiles())
+    assert [tuple(r) for r in back.orderBy("seq").select("activity", "note", "n").collect()] == [("Pay", "new", 7), ("End it", None, None)]
+
+
 def test_small_helpers(spark):
     assert datetime_pattern("%Y-%m-%dT%H:%M:%S.%f") == "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ids = spark.createDataFrame([("Task_1",), ("Gateway_2",)], "elementId string")
