@@ -203,3 +203,12 @@ def test_variants_do_not_depend_on_row_order(spark):
     first = rows(sorted_variants(placed_steps(log)))
     with tasks(spark, 60):
         assert first == rows(sorted_variants(placed_steps(again)))
+
+
+def test_states_read_steps_that_are_written_once(spark):
+    from casegate.operators.wip import states
+
+    steps = spark.createDataFrame([("cases", 2, -1), ("cases", 1, 2), ("task a", 1, 1)], "series string, t long, delta long")
+    found = states(steps.filter(F.col("t") > 0))
+    assert found.inputFiles()
+    assert sorted(map(tuple, found.collect())) == [("cases", 1, 2), ("cases", 2, 1), ("task a", 1, 1)]
