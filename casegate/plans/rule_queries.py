@@ -87,8 +87,10 @@ def order_cases(spark, folder):
     return casetable.case_table(data.base, data.labels)
 
 
-def available(spark, folder):
-    return metrics.available_cases(orders(spark, folder), sorted(FIXED_RULES))
+def order_cases_and_available(spark, folder):
+    """Cases and available cases per check, of one written log."""
+    data = orders_labelled(spark, folder)
+    return casetable.case_table(data.base, data.labels), metrics.available_cases(data.base, sorted(FIXED_RULES))
 
 
 # --- case tables --------------------------------------------------------------------
@@ -191,7 +193,8 @@ FROM opred p JOIN oavail a ON a.ko_activity = p.ko_activity GROUP BY p.ko_activi
 
 
 def measured(spark, folder):
-    found = rules.support_and_confidence(order_cases(spark, folder), FIXED_RULES, available(spark, folder))
+    cases, available = order_cases_and_available(spark, folder)
+    found = rules.support_and_confidence(cases, FIXED_RULES, available)
     return rounded(found, "support", "confidence")
 
 
@@ -280,8 +283,9 @@ SELECT m.ko_activity, m.support, m.confidence, q.precision, q.recall, q.f1_score
        CASE m.ko_activity WHEN 'Check Price' THEN 1 ELSE 2 END AS condition_count
 FROM ({MEASURES}) m JOIN ({QUALITY}) q ON q.ko_activity = m.ko_activity"""))
 def j11(spark, folder):
-    split = splits.temporal_holdout(order_cases(spark, folder))
-    table = rules.rule_metrics(split, split.filter("is_test"), FIXED_RULES, available(spark, folder))
+    cases, available = order_cases_and_available(spark, folder)
+    split = splits.temporal_holdout(cases)
+    table = rules.rule_metrics(split, split.filter("is_test"), FIXED_RULES, available)
     table = rounded(table, "support", "confidence", "precision", "recall", "f1_score", "roc_auc")
     return table.drop("predicted", "predicted_true")
 
@@ -658,11 +662,12 @@ JOIN (SELECT ko_activity, stddev_pop(coalesce((1 + tpr - fpr) / 2, 0)) AS std_au
   ON s.ko_activity = m.ko_activity"""))
 def j11_refits(spark, folder):
     """The metrics table with the parameters of each check and areas from folds."""
-    cases = write_table(order_cases(spark, folder))
+    cases, available = order_cases_and_available(spark, folder)
+    cases = write_table(cases)
     split = splits.temporal_holdout(cases)
     chosen = {ko: ONE_CONDITION for ko in FIXED_RULES}
     table = rules.rule_metrics(
-        split, split.filter("is_test"), FIXED_RULES, available(spark, folder),
+        split, split.filter("is_test"), FIXED_RULES, available,
         settings={ko: asdict(own) for ko, own in chosen.items()},
         areas=refit.refit_areas(cases, chosen, FEATURES, "IREP"),
     )

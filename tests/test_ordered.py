@@ -212,3 +212,13 @@ def test_states_read_steps_that_are_written_once(spark):
     found = states(steps.filter(F.col("t") > 0))
     assert found.inputFiles()
     assert sorted(map(tuple, found.collect())) == [("cases", 1, 2), ("cases", 2, 1), ("task a", 1, 1)]
+
+
+def test_producers_read_labelled_events_that_are_written_once(spark):
+    from casegate.operators.redesign import attribute_producers
+
+    rows = [("a", 1, "load", 1, 1, None, "check"), ("a", 2, "check", 2, 2, 5.0, "check"), ("b", 3, "load", 1, 1, None, None)]
+    log = spark.createDataFrame(rows, "case_id string, seq long, activity string, start_ts long, end_ts long, amount double, knockout_activity string")
+    found = attribute_producers(log, ["amount"])
+    assert found.inputFiles()
+    assert [tuple(r) for r in found.collect()] == [("a", "check", "amount", "load")]
