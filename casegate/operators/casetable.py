@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegate.errors import EmptyLogError
@@ -69,15 +69,8 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     texts = [c for c, t in df.dtypes if c in columns and t == "string"]
     if not texts:
         return df
-    misses = df.agg(
-        *[
-            F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"_{i}")
-            for i, c in enumerate(texts)
-        ]
-    ).first()
-    return df.withColumns(
-        {c: F.col(c).try_cast("double") for i, c in enumerate(texts) if misses[f"_{i}"] == 0}
-    )
+    misses = not_numbers(df, texts)
+    return df.withColumns({c: F.col(c).try_cast("double") for c in texts if misses[c] == 0})
 
 
 def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -89,42 +82,46 @@ def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*empty)
 
 
-def last_values(log: DataFrame, columns: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
+def last_values(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per case: times and the last non-null value of each column."""
     place = order_key(BY_START)
     return log.groupBy(CASE).agg(
         F.max(START_TS).alias(START_TS),
         F.max(END_TS).alias(END_TS),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns],
-        *also,
     )
 
 
+def not_numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """How many texts of each column are no number."""
+    if not columns:
+        return {}
+    no_number = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()) for c in columns]
+    return dict(zip(columns, df.agg(*no_number).first(), strict=True))
+
+
 def case_table(
     log: DataFrame, labels: DataFrame, ignore: Sequence[str] = (), consider: Sequence[str] | None = None
 ) -> DataFrame:
     """Cases with complete attributes and their label, ready for rule learning.
 
-    The log is read once: whether a text column holds only numbers, or nothing at
-    all, is counted per case and decided on the written case rows.
+    Whether a text column holds only numbers, or nothing at all, is decided on the written case rows:
+    a text among them that is no number settles it.  Columns without one are counted over the events.
     """
     wanted = rule_attributes(attributes(log), ignore, consider)
     if not wanted:
         raise EmptyLogError("the log has no attribute to learn rules from")
     texts = [c for c, t in log.dtypes if c in wanted and t == "string"]
-    misses = [
-        F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"_miss{i}")
-        for i, c in enumerate(texts)
-    ]
-    rows = write_table(last_values(log, wanted, misses).join(labels.select(CASE, REJECTED, KO), CASE))
-    seen = rows.agg(
-        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(wanted)],
-        *[F.sum(f"_miss{i}").alias(f"_miss{i}") for i in range(len(texts))],
-    ).first()
+    rows = write_table(last_values(log, wanted).join(labels.select(CASE, REJECTED, KO), CASE))
+    seen = rows.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(wanted)]).first()
     kept = [c for i, c in enumerate(wanted) if seen[f"_n{i}"]]
     if not kept:
         raise EmptyLogError("all attribute columns are null")
-    numbers = {c for i, c in enumerate(texts) if seen[f"_miss{i}"] == 0}
+    misses = not_numbers(rows, texts)
+    open_ones = [c for c in texts if c in kept and misses[c] == 0]
+    if open_ones:
+        misses |= not_numbers(log.join(labels.select(CASE), CASE, "left_semi"), open_ones)
+    numbers = {c for c in texts if misses[c] == 0}
     table = rows.select(
         CASE,
         START_TS,
