@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casegate.config import AnalysisConfig
 from casegate.errors import LogNotLoadedError, NoKnockoutsError, RuleLearningError
 from casegate.functions.stats import value_ranges
-from casegate.lineage import write_table
+from casegate.lineage import cut_lineage, write_dealt, write_table
 from casegate.operators import redesign, splits
 from casegate.operators.casetable import case_table, rule_attributes
 from casegate.operators.discovery import discover
@@ -33,7 +33,7 @@ from casegate.operators.rules import (
     rules_text,
 )
 from casegate.operators.tuning import DEFAULT_GRIDS, best_settings, grid_scores
-from casegate.schema import CASE, KO, KO_KEY
+from casegate.schema import BY_START, CASE, KO, KO_KEY
 from casegate.sources.files import read_log, write_report
 
 ALGORITHMS = ("IREP", "RIPPER", "CATBOOST-RIPPER")
@@ -50,7 +50,8 @@ def redesign_options(
     measured = {ko: known[ko] for ko in rulesets if known.get(ko) is not None}
     last = 1.0 + sum(abs(w) for w in measured.values())
     weights = {ko: measured.get(ko, last) for ko in rulesets}
-    found = redesign.dependencies(log, rule_features(table))
+    # a row per rule attribute: read for the order, the places and the report
+    found = cut_lineage(redesign.dependencies(log, rule_features(table)))
     needs = redesign.dependency_map(found, sorted(rulesets))
     best = redesign.optimal_order(spark, weights, needs, config.disallowed_permutations)
     order = redesign.order_or_raise(best)
@@ -164,12 +165,14 @@ class Analysis:
         base = "IREP" if config.rule_discovery_algorithm == "IREP" else "RIPPER"
         return refit_areas(cases, chosen, features, base, config.roc_folds, not config.skip_temporal_holdout)
 
-    def run(self, log: DataFrame) -> Result:
-        """Analyse a canonical log with boundary events."""
+    def run(self, log: DataFrame, dealt: int | None = None) -> Result:
+        """Analyse a canonical log with boundary events.  ``dealt``: into how many tasks it is hash partitioned
+        by case, if it is."""
         config = self.config
-        log = write_table(log)
+        log = write_dealt(log, dealt, CASE, BY_START) if dealt else write_table(log)
         found = discover(log, config)
-        labels = write_table(label(log, found.kos, config))
+        labels = label(log, found.kos, config)
+        labels = write_dealt(labels, dealt, CASE) if dealt else write_table(labels)
         kos = check_labels(labels)
         if not kos:
             raise NoKnockoutsError("no check rejects a case")
@@ -177,7 +180,7 @@ class Analysis:
         step = config.custom_log_preprocessing_function
         if step is not None:
             labelled = labelled.transform(PREPROCESSORS[step] if isinstance(step, str) else step)
-        labelled = write_table(labelled)
+        labelled = write_dealt(labelled, dealt, CASE, BY_START) if dealt and step is None else write_table(labelled)
 
         wanted = (config.attributes_to_ignore, config.attributes_to_consider)
         cases = case_table(labelled, labels, *wanted)

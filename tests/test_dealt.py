@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from casegate.operators.casetable import case_table, last_values
+from casegate.operators.rules import Condition
+from casegate.plans.analysis import redesign_options
 from casegate.plans.registry import orders_labelled
 from casegate.schema import CASE
 from casegate.sources.derived import order_log, order_tasks
@@ -57,3 +59,12 @@ def test_an_early_text_keeps_a_column_text(spark):
     labels = spark.createDataFrame([("x", True, "a"), ("y", False, None)], "case_id string, knocked_out_case boolean, knockout_activity string")
     kinds = dict(case_table(log, labels).dtypes)
     assert (kinds["mixed"], kinds["number"]) == ("string", "double")
+
+
+def test_dependencies_of_the_options_are_found_once(spark, tmp_path):
+    data = orders_labelled(spark, order_tables(spark, tmp_path))
+    rulesets = {"Check Balance": [(Condition("c_acctbal", "<", hi=0.0),)]}
+    effort = spark.createDataFrame([("Check Balance", 1.0)], "ko_activity string, effort double")
+    report = redesign_options(data.log, effort, rulesets, None)["dependencies"]
+    assert "Window" not in plan(report)
+    assert report.first()["dependencies"] == "'c_acctbal' is known once this is done: 'Load account'"
