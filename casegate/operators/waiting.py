@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegate.lineage import write_table
 from casegate.operators.names import names_frame
 from casegate.operators.ordered import sequence
 from casegate.operators.scan import scan
@@ -81,7 +82,9 @@ def waiting_time_waste(log: DataFrame, kos) -> DataFrame:
         .select(RESOURCE, KO_KEY, "p.*")
         .select(RESOURCE, "t", F.lit(0).cast("long").alias("idle"), KO_KEY, "sign")
     )
-    points = idle.unionByName(work).withColumns(
+    # rows of a resource, time and check count as one; written once, as finding the cuts and the scan read them
+    summed = idle.unionByName(work).groupBy(RESOURCE, "t", KO_KEY).agg(F.sum("idle").alias("idle"), F.sum("sign").alias("sign"))
+    points = write_table(summed).withColumns(
         {"_minute": F.floor(F.col("t") / F.lit(MINUTE)), "_rest": F.pmod("t", F.lit(MINUTE))}
     )
     # Rows of equal time in one step: a step at t adds nothing to G(t).

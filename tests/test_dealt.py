@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from casegate.operators.casetable import case_table, last_values
 from casegate.operators.rules import Condition
 from casegate.plans.analysis import redesign_options
 from casegate.plans.registry import orders_labelled
+from casegate.operators.waiting import waiting_time_waste
 from casegate.schema import CASE
 from casegate.sources.derived import order_log, order_tasks
 from tests.logs import event, log_of
@@ -68,3 +70,9 @@ def test_dependencies_of_the_options_are_found_once(spark, tmp_path):
     report = redesign_options(data.log, effort, rulesets, None)["dependencies"]
     assert "Window" not in plan(report)
     assert report.first()["dependencies"] == "'c_acctbal' is known once this is done: 'Load account'"
+
+
+def test_waiting_points_of_equal_time_are_one_row_and_written_once(spark, tmp_path):
+    data = orders_labelled(spark, order_tables(spark, tmp_path))
+    told = plan(waiting_time_waste(data.log, data.kos))
+    assert "resource, t, ko_activity" in "".join(re.findall(r"ReadSchema: (\S+)", told)).replace("struct<", "").replace(":string", "").replace(":bigint", "").replace(",", ", ")
