@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegate.lineage import write_table
 from casegate.operators.names import keep_names
 from casegate.operators.ordered import sequence
 from casegate.schema import ACTIVITY, BY_START, CASE, order_key
@@ -57,18 +58,37 @@ def chained_eventually_follows(log: DataFrame, activities: Sequence[str]) -> Dat
     return keep_cases(log, eventually_follows_cases(log, pairs, every=True))
 
 
-def directly_follows_cases(log: DataFrame, pairs: Pairs) -> DataFrame:
-    """Cases where ``b`` is the very next event after ``a`` for some pair."""
-    stepped = sequence(log.select(CASE, ACTIVITY, *BY_START), BY_START, leads={"next_activity": ACTIVITY})
+def follows(pairs: Pairs) -> Column:
+    """Whether an event and its ``next_activity`` are one of ``pairs``."""
     hit = F.lit(False)
     for b in sorted({b for _, b in pairs}):
         before = sorted(a for a, then in pairs if then == b)
         hit = hit | ((F.col("next_activity") == b) & F.col(ACTIVITY).isin(*before))
-    return stepped.filter(hit).select(CASE).distinct()
+    return F.coalesce(hit, F.lit(False))
+
 
+def told_cases(log: DataFrame, pairs: Pairs) -> DataFrame:
+    """The log with ``_met``, whether its case has one of ``pairs``, and the place ``_at`` of the event in the case.
+    Cases are told while their rows lie sorted in one task, so they must be whole (see ``sequence``)."""
+    stepped = sequence(log, BY_START, {"next_activity": ACTIVITY}, "_at", whole=True)
+    return stepped.withColumn("_met", F.max(follows(pairs)).over(Window.partitionBy(CASE)))
 
-def directly_follows(log: DataFrame, pairs: Pairs, retain: bool = True) -> DataFrame:
-    return keep_cases(log, directly_follows_cases(log, pairs), retain)
+
+def directly_follows_cases(log: DataFrame, pairs: Pairs, whole: bool = False) -> DataFrame:
+    """Cases where ``b`` is the very next event after ``a`` for some pair."""
+    log = log.select(CASE, ACTIVITY, *BY_START)
+    if whole:
+        return told_cases(log, pairs).filter(F.col("_met") & (F.col("_at") == 0)).select(CASE)
+    return sequence(log, BY_START, {"next_activity": ACTIVITY}).filter(follows(pairs)).select(CASE).distinct()
+
+
+def directly_follows(log: DataFrame, pairs: Pairs, retain: bool = True, whole: bool = False) -> DataFrame:
+    """Unless they are ``whole``, cases are written before the log is joined to them, so that no task holds the
+    sorts of both steps."""
+    if not whole:
+        return keep_cases(log, write_table(directly_follows_cases(log, pairs)), retain)
+    met = F.col("_met") & F.col(CASE).isNotNull()
+    return told_cases(log, pairs).filter(met if retain else ~met).select(*log.columns)
 
 
 def cases_ending_with(log: DataFrame, names, end: str) -> DataFrame:

@@ -9,7 +9,7 @@ from casegate.operators import discovery, filters, metrics, prepare, variants, w
 from casegate.operators.labels import observed_kos
 from casegate.operators.names import names_of
 from casegate.plans.oracles import with_parts
-from casegate.plans.registry import day, day_labelled, orders, orders_labelled, register
+from casegate.plans.registry import day, day_by_case, day_labelled, orders, orders_labelled, register
 from casegate.schema import ACTIVITY, CASE, KO, KO_KEY, REJECTED
 from casegate.sources.derived import user_day_log
 
@@ -175,7 +175,8 @@ SELECT case_id, seq, activity FROM day WHERE case_id IN (
      OR (activity = 'view' AND next_activity = 'End'))"""))
 def b2(spark, folder):
     pairs = [("signup", "purchase"), ("view", "End")]
-    return filters.directly_follows(day(spark, folder), pairs).select(CASE, "seq", ACTIVITY)
+    log, whole = day_by_case(spark, folder)
+    return filters.directly_follows(log, pairs, whole=whole).select(CASE, "seq", ACTIVITY)
 
 
 @register("b3_chained_follows", with_parts("""
@@ -448,7 +449,8 @@ SELECT DISTINCT case_id FROM day_next
 WHERE (activity, next_activity) IN (('view', 'click'), ('click', 'view'), ('signup', 'purchase'))"""))
 def g2(spark, folder):
     pairs = [("view", "click"), ("click", "view"), ("signup", "purchase")]
-    return filters.directly_follows_cases(day(spark, folder), pairs)
+    log, whole = day_by_case(spark, folder)
+    return filters.directly_follows_cases(log, pairs, whole)
 
 
 @register("g3_activity_difference", with_parts("SELECT DISTINCT activity FROM raw_day WHERE activity NOT IN ('error')"))
